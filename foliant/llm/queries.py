@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from foliant.llm.common import table
+from foliant.llm.rules import quality_rules
 from foliant.llm.sharding import shard_documents
 
 
@@ -12,5 +13,9 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
 
-QUERIES = {"op3_sharding": op3_sharding}
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_sharding": op3_sharding, "op8_quality_rules": op8_quality_rules}
 ORACLES: dict[str, str] = {}
