@@ -5,17 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from foliant.llm.common import table
+from foliant.llm.gam import quality_scores
 from foliant.llm.rules import quality_rules
 from foliant.llm.sharding import shard_documents
+from foliant.llm.toxicity import toxicity_scores
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_sharding": op3_sharding, "op8_quality_rules": op8_quality_rules}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality_classifier, op3_sharding, op6_toxicity, op8_quality_rules)
+}
 ORACLES: dict[str, str] = {}
