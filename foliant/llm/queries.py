@@ -4,13 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliant.llm.bitpack import packed_tokens
 from foliant.llm.common import table
+from foliant.llm.decontaminate import decontaminate
 from foliant.llm.gam import quality_scores
 from foliant.llm.rules import quality_rules
 from foliant.llm.sharding import shard_documents
 from foliant.llm.toxicity import toxicity_scores
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -19,6 +28,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", *[f"decontamination.{c}" for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")])
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -27,8 +41,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_token_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    return packed_tokens(table(spark, sf_dir, "documents"), tokenizer or vocabulary("byte_bpe_50k.json"), end_id=2)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_classifier, op3_sharding, op6_toxicity, op8_quality_rules)
+    for f in (op1_quality_classifier, op3_sharding, op4_decontamination, op6_toxicity, op8_quality_rules, op9_token_packing)
 }
 ORACLES: dict[str, str] = {}
