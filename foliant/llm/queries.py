@@ -8,6 +8,7 @@ from foliant.llm.bitpack import packed_tokens
 from foliant.llm.common import table
 from foliant.llm.decontaminate import decontaminate
 from foliant.llm.gam import quality_scores
+from foliant.llm.html import extract_text
 from foliant.llm.rules import quality_rules
 from foliant.llm.sharding import shard_documents
 from foliant.llm.toxicity import toxicity_scores
@@ -24,6 +25,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
@@ -47,6 +52,6 @@ def op9_token_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None =
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_classifier, op3_sharding, op4_decontamination, op6_toxicity, op8_quality_rules, op9_token_packing)
+    for f in (op1_quality_classifier, op2_html_extraction, op3_sharding, op4_decontamination, op6_toxicity, op8_quality_rules, op9_token_packing)
 }
 ORACLES: dict[str, str] = {}
