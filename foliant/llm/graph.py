@@ -1,0 +1,30 @@
+"""Connected components of an edge table by repeated joins."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from foliant.llm.common import cut
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """node, component (smallest node reachable) for every end of an edge.
+
+    In each round a node takes the smallest label among its neighbours' and its own, then
+    the label of that label; rounds end when no label changes.  Aggregations are per node
+    and combine before the shuffle, so a node with many edges is no hot group.
+    """
+    both = cut(
+        edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionAll(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).where("u != v").distinct()
+    )
+    labels = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")).withColumnRenamed("u", "node"))
+    while True:
+        near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("label").alias("_near")).withColumnRenamed("u", "node")
+        nearer = cut(labels.join(near, "node", "left").select("node", "label", F.least("label", F.coalesce("_near", "label")).alias("_new")))
+        jump = nearer.select(F.col("node").alias("_new"), F.col("_new").alias("_far"))
+        moved = cut(nearer.join(jump, "_new", "left").select("node", "label", F.least("_new", F.coalesce("_far", "_new")).alias("_next")))
+        changed = moved.where("label != _next").limit(1).count()
+        labels = moved.select("node", F.col("_next").alias("label"))
+        if not changed:
+            return labels.withColumnRenamed("label", "component")

@@ -9,6 +9,7 @@ from foliant.llm.common import table
 from foliant.llm.decontaminate import decontaminate
 from foliant.llm.gam import quality_scores
 from foliant.llm.html import extract_text
+from foliant.llm.neardup import near_duplicates
 from foliant.llm.rules import quality_rules
 from foliant.llm.sharding import shard_documents
 from foliant.llm.toxicity import toxicity_scores
@@ -38,6 +39,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[f"decontamination.{c}" for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")])
 
 
+def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4, similarity=(80, 100))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,6 +57,6 @@ def op9_token_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None =
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_classifier, op2_html_extraction, op3_sharding, op4_decontamination, op6_toxicity, op8_quality_rules, op9_token_packing)
+    for f in (op1_quality_classifier, op2_html_extraction, op3_sharding, op4_decontamination, op5_minhash_neardup, op6_toxicity, op8_quality_rules, op9_token_packing)
 }
 ORACLES: dict[str, str] = {}
