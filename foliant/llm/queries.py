@@ -9,6 +9,7 @@ from foliant.llm.common import table
 from foliant.llm.decontaminate import decontaminate
 from foliant.llm.gam import quality_scores
 from foliant.llm.html import extract_text
+from foliant.llm.katz import katz_scores
 from foliant.llm.neardup import near_duplicates
 from foliant.llm.rules import quality_rules
 from foliant.llm.sharding import shard_documents
@@ -55,8 +56,12 @@ def op9_token_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None =
     return packed_tokens(table(spark, sf_dir, "documents"), tokenizer or vocabulary("byte_bpe_50k.json"), end_id=2)
 
 
+def op10_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_classifier, op2_html_extraction, op3_sharding, op4_decontamination, op5_minhash_neardup, op6_toxicity, op8_quality_rules, op9_token_packing)
+    for f in (op1_quality_classifier, op2_html_extraction, op3_sharding, op4_decontamination, op5_minhash_neardup, op6_toxicity, op8_quality_rules, op9_token_packing, op10_katz_scoring)
 }
 ORACLES: dict[str, str] = {}
