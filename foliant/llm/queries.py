@@ -11,6 +11,7 @@ from foliant.llm.gam import quality_scores
 from foliant.llm.html import extract_text
 from foliant.llm.katz import katz_scores
 from foliant.llm.neardup import near_duplicates
+from foliant.llm.pieces import encode_pieces
 from foliant.llm.rules import quality_rules
 from foliant.llm.sharding import shard_documents
 from foliant.llm.toxicity import toxicity_scores
@@ -48,6 +49,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_sentencepiece_nbest(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = encode_pieces(docs, model or vocabulary("piece_bpe_32k.model"), n=3)
+    return found.select("doc_id", *[f"pieces.{c}" for c in ("n_pieces", "ids_crc32", "scores", "crcs", "exact")])
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -62,6 +69,6 @@ def op10_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_classifier, op2_html_extraction, op3_sharding, op4_decontamination, op5_minhash_neardup, op6_toxicity, op8_quality_rules, op9_token_packing, op10_katz_scoring)
+    for f in (op1_quality_classifier, op2_html_extraction, op3_sharding, op4_decontamination, op5_minhash_neardup, op6_toxicity, op7_sentencepiece_nbest, op8_quality_rules, op9_token_packing, op10_katz_scoring)
 }
 ORACLES: dict[str, str] = {}
