@@ -1,6 +1,516 @@
-"""Queries of the engine's own operators over the driver's tables, with their oracle SQL."""
+"""The engine's operators bound to the driver's tables, each with SQL for the same rows.
+
+Documents stand for records (first line = title, source = journal), events for users and what
+they have seen, labels for feedback, pages for marked-up text, order lines for authorship.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foliant.functions import text as tx
+from foliant.operators import detect as dt
+from foliant.operators import evaluate as ev
+from foliant.operators import profile as pf
+from foliant.operators import resolve as rs
+from foliant.operators import select as sl
+from foliant.operators import state as st
+from foliant.plans.config import Config, Terms
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+TYPES = ("Randomized Controlled Trial", "Meta-Analysis", "Editorial", "Letter", "Journal Article", "Review", "Published Erratum")
+SECTIONS = (("Alpha", Terms((), ("that", "rewh"))), ("Beta", Terms((), ("sch*", "der"))), ("Gamma", Terms((), ("les", "des"))))
+CONFIG = Config(
+    tiers=tuple(tuple(f"src{i}" for i in range(5 * k, 5 * k + 5)) for k in range(3)),
+    sections=SECTIONS, gate=Terms((), ("tion", "with", "sch*")), hard_types=("Published Erratum",), soft_types=("Review",),
+    topics={"ecmo": Terms((), ("that",)), "ventilation": Terms((), ("sch*",))}, factors={"ecmo": 1.3, "pards_or_mech_vent": 1.25}, journal_factors={"src3": 0.75},
+    hard_cap=12, per_section=5, non_primary=3,
+)
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    at = F.instr("text", "\n")
+    kinds = F.array(*map(F.lit, TYPES))
+    return d.select(
+        F.col("doc_id").alias("item"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.when(at > 0, F.substring(F.col("text"), at + 1, F.length("text"))).otherwise("").alias("abstract"),
+        F.col("source").alias("journal"), F.array(F.get(kinds, (F.col("doc_id") % 7).cast("int"))).alias("pub_types"), F.array(F.when(F.col("lang") == "fr", "fre").otherwise("eng")).alias("language"),
+        F.array().cast("array<string>").alias("mesh"), F.array().cast("array<string>").alias("mesh_major"),
+        F.array().cast("array<struct<last:string,fore:string,orcid:string,affiliation:string>>").alias("authors"), "n_chars", "text",
+    )
+
+
+def _hit_sql(column: str, term: str) -> str:
+    t = term.lower()
+    return f"regexp_matches({column}, '(^|[^0-9a-z_]){t[:-1]}')" if t.endswith("*") else f"regexp_matches({column}, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')"
+
+
+def _any_sql(column: str, terms: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(_hit_sql(column, t) for t in terms) + ")"
+
+
+PAPER = (
+    "paper AS (SELECT doc_id AS item, split_part(text, chr(10), 1) AS title, CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END AS abstract,"
+    " source AS journal, lang, n_chars, text, lower(text) AS hay, [" + ", ".join(f"'{t}'" for t in TYPES) + "][CAST(doc_id % 7 AS INT) + 1] AS kind,"
+    " CASE WHEN TRY_CAST(substr(source, 4) AS INT) < 5 THEN 1 WHEN TRY_CAST(substr(source, 4) AS INT) < 10 THEN 2 WHEN TRY_CAST(substr(source, 4) AS INT) < 15 THEN 3 END AS tier FROM documents)"
+)
+_RELEVANT = _any_sql("hay", CONFIG.gate.text)
+RULED = PAPER + (
+    ", ruled AS (SELECT *, CASE WHEN kind = 'Published Erratum' THEN 'hard_pt_exclude' WHEN lang = 'fr' THEN 'language'"
+    " WHEN kind = 'Review' AND coalesce(tier, 9) > 2 THEN 'soft_exclude_non_tier12' WHEN kind IN ('Editorial', 'Letter') AND coalesce(tier, 9) > 2 THEN 'editorial_letter_non_tier12'"
+    f" WHEN kind IN ('Editorial', 'Letter') AND NOT {_RELEVANT} THEN 'editorial_letter_failed_cc_gate' WHEN tier = 3 AND NOT {_RELEVANT} THEN 'cc_relevance_gate'"
+    " WHEN tier IS NULL THEN 'journal_not_in_whitelist' END AS rule FROM paper)"
+)
+_POINTS = {n: " + ".join(f"CASE WHEN {_hit_sql('lower(title)', t)} THEN 3 WHEN {_hit_sql('lower(abstract)', t)} THEN 1 ELSE 0 END" for t in x.text) for n, x in SECTIONS}
+_SECTION = ", ".join(f"{v} AS p_{n}" for n, v in _POINTS.items())
+SCORED = RULED + (
+    f", pointed AS (SELECT *, {_SECTION} FROM ruled), scored AS (SELECT item, tier, kind, n_chars, title, abstract, text, rule,"
+    " CASE WHEN greatest(p_Alpha, p_Beta, p_Gamma) = 0 THEN 'Misc' WHEN p_Alpha >= p_Beta AND p_Alpha >= p_Gamma THEN 'Alpha' WHEN p_Beta >= p_Gamma THEN 'Beta' ELSE 'Gamma' END AS section,"
+    " CASE kind WHEN 'Randomized Controlled Trial' THEN 1.0 WHEN 'Meta-Analysis' THEN 0.9 WHEN 'Editorial' THEN 0.3 WHEN 'Letter' THEN 0.35 WHEN 'Review' THEN 0.5 ELSE 0.6 END::DOUBLE AS study,"
+    " greatest(0, least(1, log10(greatest(n_chars, 10)) / 5))::DOUBLE AS size, CASE tier WHEN 1 THEN 1.0 WHEN 2 THEN 0.8 ELSE 0.5 END::DOUBLE AS tier_score,"
+    f" CASE WHEN journal = 'src3' THEN 0.75 ELSE 1.0 END * CASE WHEN {_any_sql('hay', ('that',))} THEN 1.3 ELSE 1.0 END * CASE WHEN {_any_sql('hay', ('sch*',))} THEN 1.25 ELSE 1.0 END AS factor FROM pointed),"
+    " final AS (SELECT *, round((0.4 * tier_score + 0.3 * study + 0.1 * size) * factor, 9) AS score, kind IN ('Editorial', 'Letter', 'Review') AS non_primary FROM scored)"
+)
+
+
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers with signals, tier, verdict."""
+    p = sl.with_tier(papers(spark, sf_dir), sl.journal_tiers(spark, CONFIG))
+    return sl.verdicts(dt.detect(p, CONFIG), CONFIG)
+
+
+def final(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers with base and boosted score, section, class."""
+    size = sl.size_score(F.col("n_chars"), F.lit(False))
+    base = sl.base_score(F.col("tier"), sl.study_score(F.col("pub_types")), F.lit(0.0), size, CONFIG)
+    df = judged(spark, sf_dir)
+    quiet = df.withColumn("signals", F.col("signals").withField("sample_size", F.col("n_chars")))
+    return quiet.select(
+        "item", "rule", "tier", "pub_types", "title", "abstract", sl.section(CONFIG).alias("section"), F.round(sl.boosted(base, sl.boosts(CONFIG)), 9).alias("score"),
+        sl.has_type(sl.NON_PRIMARY).alias("non_primary"), sl.practice_changing(F.col("tier")).alias("practice_changing"),
+    )
+
+
+POOL = ", pool AS (SELECT DISTINCT user_id, event_id % 200 AS item FROM events), seen AS (SELECT DISTINCT user_id, event_id % 200 AS item FROM events WHERE event_type = 'view')"
+CANDIDATES = "WITH RECURSIVE " + SCORED + POOL + (
+    ", cand AS (SELECT user_id, item, section, score, non_primary, kind = 'Randomized Controlled Trial' AND tier <= 2 AND n_chars >= 100 AS practice_changing FROM pool JOIN final USING (item) WHERE rule IS NULL"
+    " AND NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = pool.user_id AND s.item = pool.item)),"
+    " ordered AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item) AS rn FROM cand),"
+    " walk AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS item, false AS took, 0 AS a, 0 AS b, 0 AS c, 0 AS m, 0 AS np FROM ordered UNION ALL"
+    " SELECT user_id, rn, item, took, a + (took AND section = 'Alpha')::INT, b + (took AND section = 'Beta')::INT, c + (took AND section = 'Gamma')::INT, m + (took AND section = 'Misc')::INT, np + (took AND non_primary)::INT"
+    " FROM (SELECT o.user_id, o.rn, o.item, o.section, o.non_primary, w.a, w.b, w.c, w.m, w.np, w.a + w.b + w.c + w.m < 12 AND CASE o.section WHEN 'Alpha' THEN w.a WHEN 'Beta' THEN w.b WHEN 'Gamma' THEN w.c ELSE w.m END < 5"
+    " AND (NOT o.non_primary OR w.np < 3) AS took FROM walk w JOIN ordered o ON o.user_id = w.user_id AND o.rn = w.rn + 1)),"
+    " chosen AS (SELECT o.* FROM ordered o JOIN walk w ON o.user_id = w.user_id AND o.rn = w.rn WHERE w.took)"
+)
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("item", F.col("event_id") % 200)
+    pool = st.unseen(e.select("user_id", "item").distinct(), e.where("event_type = 'view'"), ["user_id", "item"])
+    return pool.join(final(spark, sf_dir).where("rule is null"), "item")
+
+
+def digest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    c = candidates(spark, sf_dir)
+    return c, sl.greedy_digest(c, CONFIG.hard_cap, CONFIG.per_section, CONFIG.non_primary)
+
+
+def chosen_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, chosen = digest(spark, sf_dir)
+    return chosen.join(c.select("user_id", "item", "practice_changing"), ["user_id", "item"])
+
+
+TERMS = ("that", "tion", "thon", "sch*", "les")
+
+
+@query("SELECT doc_id, " + ", ".join(f"{_hit_sql('lower(text)', t)} AS t{i}" for i, t in enumerate(TERMS)) + " FROM documents")
+def term_hit(spark, sf_dir):
+    low = F.lower("text")
+    return table(spark, sf_dir, "documents").select("doc_id", *[tx.term_hit(low, t).alias(f"t{i}") for i, t in enumerate(TERMS)])
+
+
+@query("SELECT doc_id, concat_ws('|', " + ", ".join(f"CASE WHEN {_hit_sql('lower(text)', t)} THEN '{t}' END" for t in TERMS) + ") AS matched FROM documents")
+def term_audit(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(tx.term_hits(F.lower("text"), list(TERMS)), "|").alias("matched"))
+
+
+_SIZE_TEXT = "CASE WHEN o_orderkey % 3 = 0 THEN 'We enrolled ' || o_custkey || ' adults, n = ' || (o_orderkey % 977) WHEN o_orderkey % 3 = 1 THEN (o_custkey + 10) || ' patients and 12,345 cases' ELSE 'nothing' END"
+
+
+@query(
+    f"WITH t AS (SELECT o_orderkey, {_SIZE_TEXT} AS s FROM orders), f AS (SELECT o_orderkey, unnest(list_concat(list_concat(regexp_extract_all(s, '\\b[nN]\\s*=\\s*([0-9][0-9,]{{0,7}})', 1),"
+    " regexp_extract_all(s, '(?i)\\b([0-9][0-9,]{1,7})\\s+(?:patients|children|infants|neonates|subjects|participants|admissions|episodes|cases)\\b', 1)),"
+    " regexp_extract_all(s, '(?i)\\b(?:included|enrolled|analy[sz]ed|randomi[sz]ed)\\s+([0-9][0-9,]{1,7})\\b', 1))) AS x FROM t),"
+    " g AS (SELECT o_orderkey, max(TRY_CAST(replace(x, ',', '') AS BIGINT)) FILTER (WHERE TRY_CAST(replace(x, ',', '') AS BIGINT) BETWEEN 3 AND 50000000) AS v FROM f GROUP BY 1)"
+    " SELECT t.o_orderkey, v AS sample_size FROM t LEFT JOIN g USING (o_orderkey)"
+)
+def sample_size(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_SIZE_TEXT).alias("abstract"), F.lit("").alias("title")).select("o_orderkey", tx.sample_size(F.col("title"), F.col("abstract")).alias("sample_size"))
+
+
+@query("SELECT page_id, regexp_extract(html, '(?is)<h1(?:\\s[^>]*)?>(.*?)</h1>', 1) AS heading, len(regexp_extract_all(html, '(?is)<li(\\s[^>]*)?>(.*?)</li>', 2)) AS n_items, regexp_extract(html, '(?i)lang\\s*=\\s*\"([^\"]*)\"', 1) AS lang FROM pages")
+def tag_extract(spark, sf_dir):
+    h = F.col("html")
+    return table(spark, sf_dir, "pages").select("page_id", tx.element(h, "h1").alias("heading"), F.size(tx.elements(h, "li")).cast("long").alias("n_items"), tx.attribute(h, "lang").alias("lang"))
+
+
+@query(
+    "SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<h1(?:\\s[^>]*)?>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')) AS heading FROM pages"
+)
+def html_clean(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", tx.clean_text(tx.element(F.col("html"), "h1")).alias("heading"))
+
+
+def _words_sql(column: str) -> str:
+    stops = ", ".join(f"'{w}'" for w in tx.STOPWORDS)
+    return f"list_filter(regexp_split_to_array(regexp_replace(lower({column}), '[^a-z0-9\\s-]', ' ', 'g'), '\\s+'), lambda w: len(w) > 2 AND w NOT IN ({stops}))"
+
+
+_WORDS = f"w AS (SELECT doc_id, {_words_sql('text')} AS ws FROM documents), g AS (SELECT doc_id, unnest(ws) AS term FROM w UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM w), c AS (SELECT doc_id, term, count(*) AS n FROM g GROUP BY ALL)"
+
+
+def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.explode(tx.ngrams(tx.words(F.col("text")))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_WORDS} SELECT doc_id, count(*) AS n_terms, CAST(sum(n) AS BIGINT) AS n_total, max(n) AS most FROM c GROUP BY doc_id")
+def ngram_counts(spark, sf_dir):
+    return counts(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("n").alias("n_total"), F.max("n").alias("most"))
+
+
+_PROFILE = f"WITH {_WORDS}, liked AS (SELECT term, CAST(sum(n) AS BIGINT) AS weight FROM c JOIN labels USING (doc_id) WHERE quality = 1 AND toxic = 0 GROUP BY term), dis AS (SELECT term, CAST(sum(n) AS BIGINT) AS weight FROM c JOIN labels USING (doc_id) WHERE quality = 0 GROUP BY term), norm AS (SELECT doc_id, sum(n * n)::DOUBLE AS a FROM c GROUP BY 1)"
+_COS = "(SELECT doc_id, sum(n * weight)::DOUBLE / (sqrt(a) * sqrt((SELECT sum(weight * weight)::DOUBLE FROM {0}))) AS cosine FROM c JOIN {0} USING (term) JOIN norm USING (doc_id) GROUP BY doc_id, a)"
+
+
+def _profile(spark: SparkSession, sf_dir: str, where: str) -> DataFrame:
+    tagged = table(spark, sf_dir, "labels").where(where).select("doc_id")
+    return counts(spark, sf_dir).join(tagged, "doc_id").groupBy("term").agg(F.sum("n").alias("weight")).withColumn("user_id", F.lit(0).cast("long"))
+
+
+@query(_PROFILE + " SELECT doc_id, round(cosine, 9) AS cosine FROM " + _COS.format("liked"))
+def sparse_cosine(spark, sf_dir):
+    return pf.cosine(counts(spark, sf_dir), _profile(spark, sf_dir, "quality = 1 and toxic = 0"), "doc_id").select("doc_id", F.round("cosine", 9).alias("cosine"))
+
+
+@query(_PROFILE + f" SELECT doc_id, round(greatest(0, least(1, coalesce(p.cosine, 0) - 0.5 * coalesce(q.cosine, 0))), 9) AS preference FROM {_COS.format('liked')} p FULL JOIN {_COS.format('dis')} q USING (doc_id)")
+def preference_match(spark, sf_dir):
+    c = counts(spark, sf_dir)
+    liked, disliked = (pf.cosine(c, _profile(spark, sf_dir, w), "doc_id") for w in ("quality = 1 and toxic = 0", "quality = 0"))
+    return pf.preference(liked, disliked, "doc_id").select("doc_id", F.round("preference", 9).alias("preference"))
+
+
+@query(
+    f"WITH {_WORDS}, e AS (SELECT doc_id % 5 AS user_id, doc_id, CASE WHEN quality = 0 THEN 'skip' WHEN toxic = 1 THEN 'tilde' ELSE 'star' END AS tag FROM labels),"
+    " old AS (SELECT doc_id % 5 AS user_id, 'positive' AS polarity, term, CAST(sum(n) AS DOUBLE) AS weight FROM c WHERE doc_id < 50 GROUP BY ALL)"
+    " SELECT user_id, polarity, term, round(sum(weight), 6) AS weight FROM (SELECT user_id, polarity, term, weight * 0.9 AS weight FROM old UNION ALL"
+    " SELECT user_id, CASE WHEN tag = 'skip' THEN 'negative' ELSE 'positive' END, term, n * CASE WHEN tag = 'tilde' THEN 0.3 ELSE 1.0 END FROM e JOIN c USING (doc_id)) GROUP BY ALL"
+)
+def profile_feedback(spark, sf_dir):
+    v = counts(spark, sf_dir).withColumnRenamed("doc_id", "item")
+    tag = F.when(F.col("quality") == 0, "skip").when(F.col("toxic") == 1, "tilde").otherwise("star")
+    events = table(spark, sf_dir, "labels").select((F.col("doc_id") % 5).alias("user_id"), F.col("doc_id").alias("item"), tag.alias("tag"))
+    old = v.where("item < 50").groupBy((F.col("item") % 5).alias("user_id"), F.lit("positive").alias("polarity"), "term").agg(F.sum("n").cast("double").alias("weight"))
+    return pf.apply_feedback(old, events, v).withColumn("weight", F.round("weight", 6))
+
+
+@query(f"WITH {PAPER} SELECT item, tier FROM paper")
+def tier_lookup(spark, sf_dir):
+    return sl.with_tier(papers(spark, sf_dir), sl.journal_tiers(spark, CONFIG)).select("item", "tier")
+
+
+@query(f"WITH {RULED} SELECT item, rule FROM ruled")
+def filter_verdict(spark, sf_dir):
+    return judged(spark, sf_dir).select("item", "rule")
+
+
+@query(f"WITH {RULED} SELECT coalesce(rule, 'kept') AS rule, count(*) AS n FROM ruled GROUP BY 1")
+def filter_drop_counts(spark, sf_dir):
+    return sl.drop_counts(judged(spark, sf_dir))
+
+
+@query(f"WITH {PAPER} SELECT item, {_RELEVANT} AS cc_relevance, {_any_sql('hay', ('that',))} AS ecmo, {_any_sql('hay', ('sch*',))} AS ventilation, 0 AS n_pediatric FROM paper")
+def detect_signals(spark, sf_dir):
+    s = dt.detect(papers(spark, sf_dir), CONFIG)
+    pediatric = F.size(F.coalesce(F.try_element_at("matched", F.lit("pediatric")), F.array().cast("array<string>")))
+    return s.select("item", "signals.cc_relevance", "signals.ecmo", "signals.ventilation", pediatric.alias("n_pediatric"))
+
+
+@query(f"WITH {SCORED} SELECT item, study, round(size, 9) AS size FROM scored")
+def study_and_size_score(spark, sf_dir):
+    return papers(spark, sf_dir).select("item", sl.study_score(F.col("pub_types")).alias("study"), F.round(sl.size_score(F.col("n_chars"), F.lit(False)), 9).alias("size"))
+
+
+@query(f"WITH {SCORED} SELECT item, section FROM scored")
+def section_assign(spark, sf_dir):
+    return papers(spark, sf_dir).select("item", sl.section(CONFIG).alias("section"))
+
+
+@query(f"WITH {SCORED} SELECT item, score, non_primary FROM final")
+def boosted_score(spark, sf_dir):
+    return final(spark, sf_dir).select("item", "score", "non_primary")
+
+
+@query(CANDIDATES + " SELECT user_id, item, section, score FROM chosen")
+def greedy_digest(spark, sf_dir):
+    return digest(spark, sf_dir)[1].select("user_id", "item", "section", "score")
+
+
+@query(CANDIDATES + " SELECT user_id, item, rank FROM (SELECT o.user_id, o.item, row_number() OVER (PARTITION BY o.user_id ORDER BY o.score DESC, o.item) AS rank FROM ordered o ANTI JOIN chosen USING (user_id, item)) WHERE rank <= 3")
+def digest_borderline(spark, sf_dir):
+    c, chosen = digest(spark, sf_dir)
+    return sl.runners_up(c, chosen, CONFIG.hard_cap, CONFIG.borderline).select("user_id", "item", F.col("rank").cast("long").alias("rank"))
+
+
+_PINS = ", pinned AS (SELECT * FROM (SELECT user_id, item, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item) AS rank FROM chosen WHERE practice_changing) WHERE rank <= 3)"
+
+
+@query(CANDIDATES + _PINS + " SELECT user_id, item, rank FROM pinned")
+def digest_pins(spark, sf_dir):
+    return sl.pins(chosen_flagged(spark, sf_dir)).select("user_id", "item", F.col("rank").cast("long").alias("rank"))
+
+
+@query(CANDIDATES + _PINS + " SELECT user_id, section, CASE section WHEN 'Alpha' THEN 0 WHEN 'Beta' THEN 1 WHEN 'Gamma' THEN 2 ELSE 3 END AS section_order, string_agg(item::VARCHAR, ',' ORDER BY score DESC, item) AS items FROM chosen ANTI JOIN pinned USING (user_id, item) GROUP BY user_id, section")
+def digest_sections(spark, sf_dir):
+    c = chosen_flagged(spark, sf_dir)
+    lists = sl.section_lists(c, sl.pins(c), [n for n, _ in SECTIONS])
+    return lists.select("user_id", "section", "section_order", F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"))
+
+
+@query(CANDIDATES + ", total AS (SELECT user_id, count(*) AS candidates FROM pool GROUP BY 1) SELECT user_id, candidates, coalesce(k, 0) AS after_filter FROM total LEFT JOIN (SELECT user_id, count(*) AS k FROM cand GROUP BY 1) USING (user_id)")
+def digest_counters(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 200).alias("item")).distinct()
+    kept = candidates(spark, sf_dir).groupBy("user_id").agg(F.count(F.lit(1)).alias("k"))
+    return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("candidates")).join(kept, "user_id", "left").select("user_id", "candidates", F.coalesce("k", F.lit(0)).alias("after_filter"))
+
+
+@query("SELECT DISTINCT user_id, event_id % 200 AS item FROM events e WHERE NOT EXISTS (SELECT 1 FROM events s WHERE s.event_type = 'view' AND s.user_id = e.user_id AND s.event_id % 200 = e.event_id % 200)")
+def pool_antijoin(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("item", F.col("event_id") % 200)
+    return st.unseen(e.select("user_id", "item").distinct(), e.where("event_type = 'view'"), ["user_id", "item"])
+
+
+@query(f"WITH {PAPER}, watch AS (SELECT DISTINCT event_id % 200 AS item FROM events WHERE user_id = 7) , w AS (SELECT f.item, f.score FROM watch JOIN (SELECT * FROM (WITH {SCORED} SELECT item, score FROM final)) f USING (item)) SELECT item, score, rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, item) AS rank FROM w) WHERE rank <= 10")
+def author_bypass(spark, sf_dir):
+    watch = table(spark, sf_dir, "events").where("user_id = 7").select((F.col("event_id") % 200).alias("item"), "user_id").distinct()
+    return sl.author_block(final(spark, sf_dir).join(watch, "item")).select("item", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {PAPER} SELECT item, kind IN ('Meta-Analysis', 'Randomized Controlled Trial') AS passes FROM paper")
+def pubtype_choice(spark, sf_dir):
+    return papers(spark, sf_dir).select("item", dt.type_choice(["Meta-Analysis", "Randomized Controlled Trial"]).alias("passes"))
+
+
+@query(f"WITH {PAPER} SELECT item, concat_ws('|', CASE WHEN {_hit_sql('hay', 'der')} THEN 'der' END, CASE WHEN {_hit_sql('hay', 'sch*')} THEN 'sch*' END) AS keywords, CASE WHEN {_any_sql('hay', ('der', 'sch*'))} THEN 1.25 ELSE 1.0 END::DOUBLE AS factor FROM paper")
+def keyword_boost(spark, sf_dir):
+    k = dt.keyword_hits([" der", "", "sch*"])
+    return papers(spark, sf_dir).select("item", F.array_join(k, "|").alias("keywords"), F.when(F.size(k) > 0, 1.25).otherwise(1.0).alias("factor"))
+
+
+@query("SELECT c_custkey AS key, c_acctbal AS value FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT o_custkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM orders) WHERE r = 1")
+def upsert_lastwins(spark, sf_dir):
+    store = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("value"))
+    batch = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_totalprice").alias("value"), F.col("o_orderkey").alias("position"))
+    return st.upsert(store, batch, "key", "position")
+
+
+@query("SELECT count(*) AS added FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT o_custkey FROM orders))")
+def upsert_added(spark, sf_dir):
+    store = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"))
+    return st.added(store, table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("key")), "key").agg(F.count(F.lit(1)).alias("added"))
+
+
+@query("SELECT event_id FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-23'")
+def rolling_window(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    return st.since(e, "day", F.lit("2024-01-30").cast("date"), 7).select("event_id")
+
+
+@query("SELECT event_id FROM events WHERE event_id % 10 = 0 OR CAST(ts AS DATE) >= DATE '2024-01-15'")
+def prune_cache(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("day", F.when(F.col("event_id") % 10 != 0, F.to_date("ts")))
+    return st.prune(e, "day", F.lit("2024-01-30").cast("date"), 15).select("event_id")
+
+
+@query("SELECT user_id, item FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seen_at DESC, item DESC) AS r FROM (SELECT user_id, event_id % 200 AS item, min(ts) AS seen_at FROM events GROUP BY ALL)) WHERE r <= 20")
+def seen_ledger_cap(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 200).alias("item"), F.col("ts").alias("seen_at"), "event_type")
+    return st.mark_seen(e.where("event_type = 'view'").drop("event_type"), e.where("event_type <> 'view'").drop("event_type"), keep=20).select("user_id", "item")
+
+
+@query("SELECT user_id, item, tag FROM (SELECT user_id, event_id % 200 AS item, CASE event_id % 3 WHEN 0 THEN 'star' WHEN 1 THEN 'tilde' ELSE 'skip' END AS tag, row_number() OVER (PARTITION BY user_id, event_id % 200 ORDER BY ts DESC, CASE event_id % 3 WHEN 0 THEN 'star' WHEN 1 THEN 'tilde' ELSE 'skip' END) AS r FROM events) WHERE r = 1")
+def feedback_latest(spark, sf_dir):
+    tag = F.when(F.col("event_id") % 3 == 0, "star").when(F.col("event_id") % 3 == 1, "tilde").otherwise("skip")
+    e = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 200).alias("item"), tag.alias("tag"), F.col("ts").alias("at"))
+    return st.record_feedback(e).select("user_id", "item", "tag")
+
+
+@query("SELECT s_suppkey AS user_id, coalesce(t, '') AS templates FROM supplier LEFT JOIN (SELECT l_suppkey AS s_suppkey, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS t FROM lineitem WHERE l_suppkey % 3 > 0 GROUP BY 1) USING (s_suppkey)")
+def load_users(spark, sf_dir):
+    users = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), "s_name")
+    own = table(spark, sf_dir, "lineitem").where("l_suppkey % 3 > 0").select(F.col("l_suppkey").alias("user_id"), F.col("l_returnflag").alias("slug"), F.col("l_returnflag").alias("position")).distinct()
+    none = users.limit(0).select(F.col("id").alias("user_id"), F.lit("").alias("orcid"), F.lit("").alias("label"))
+    return st.load_users(users, own, none.select("user_id", F.lit("").alias("journal_tier")), none).select("user_id", F.array_join("templates", ",").alias("templates"))
+
+
+@query("SELECT DISTINCT n_name AS journal FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE') OR r_regionkey = 0")
+def union_pull_plan(spark, sf_dir):
+    r = table(spark, sf_dir, "region")
+    journals = table(spark, sf_dir, "nation").join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("slug"), F.col("n_name").alias("journal"))
+    users = spark.createDataFrame([(["ASIA", "NOWHERE"],), (["EUROPE"],)], "templates array<string>")
+    return st.pull_plan(users, journals, r.where("r_regionkey = 0").first()["r_name"])
+
+
+_PLACE = "CASE s_suppkey % 4 WHEN 0 THEN 'Department of Medicine, University of ' || n_name || ', City' WHEN 1 THEN 'The ' || n_name || ' Children''s Hospital; ward ' || s_suppkey WHEN 2 THEN n_name || ' Institute for Care, LLC' ELSE 'no place' END"
+_INST = (
+    "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(lower(CASE s_suppkey % 4 WHEN 0 THEN 'University of ' || n_name WHEN 1 THEN 'The ' || n_name || ' Children''s Hospital' WHEN 2 THEN n_name || ' Institute for Care' ELSE '' END), '''', ''),"
+    " '\\b(school of medicine|medical (school|center|centre)|health (system|sciences|care)|department|division|college of medicine|inc|llc)\\b', ' ', 'g'), '\\b(the|of|at|in|for|and)\\b', ' ', 'g'), '[^a-z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g'))"
+)
+
+
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    return s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name", F.expr(_PLACE.replace("Children''s", "Children\\'s")).alias("aff"))
+
+
+@query(f"SELECT s_suppkey, {_INST} AS inst FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def institution_key(spark, sf_dir):
+    return places(spark, sf_dir).select("s_suppkey", rs.institution_key(F.col("aff")).alias("inst"))
+
+
+def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").where("l_orderkey <= 2000")
+    return li.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_set(F.col("l_suppkey").cast("string"))).alias("co"))
+
+
+_SHIPPED = "o AS (SELECT l_orderkey AS id, list_sort(list_distinct(list(l_suppkey::VARCHAR))) AS co FROM lineitem WHERE l_orderkey <= 2000 GROUP BY 1)"
+
+
+@query(f"WITH {_SHIPPED} SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.co, b.co))::DOUBLE / least(len(a.co), len(b.co)), 9) AS overlap FROM o a JOIN o b ON a.id < b.id AND b.id - a.id <= 40")
+def overlap_similarity(spark, sf_dir):
+    o = shipped(spark, sf_dir)
+    near = o.select("id", "co", F.explode(F.sequence(F.col("id") - 40, F.col("id") - 1)).alias("_a"))
+    pairs = near.join(o.select(F.col("id").alias("_a"), F.col("co").alias("_co")), "_a")
+    return pairs.select(F.col("_a").alias("a"), F.col("id").alias("b"), F.round(rs.overlap(F.col("_co"), F.col("co")), 9).alias("overlap"))
+
+
+@query(
+    "WITH RECURSIVE e AS (SELECT DISTINCT vec_id AS a, (vec_id * 7 + label) % 500 AS b FROM embeddings WHERE vec_id < 500 AND vec_id % 3 = 0), n AS (SELECT vec_id AS id FROM embeddings WHERE vec_id < 500),"
+    " twoway AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT id, id AS c FROM n UNION SELECT t.b, r.c FROM r JOIN twoway t ON t.a = r.id)"
+    " SELECT id, min(c) AS component FROM r GROUP BY id"
+)
+def resolve_components(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").where("vec_id < 500")
+    edges = v.where("vec_id % 3 = 0").select(F.col("vec_id").alias("a"), ((F.col("vec_id") * 7 + F.col("label")) % 500).alias("b"))
+    return rs.components(v.select(F.col("vec_id").alias("id")), edges)
+
+
+def author_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record per order of the first suppliers: co-authors are the order's other suppliers."""
+    li = table(spark, sf_dir, "lineitem").where("l_orderkey <= 1200")
+    team = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.col("l_suppkey").cast("string"))).alias("coauthors"), F.min("l_suppkey").alias("s_suppkey"))
+    r = team.join(places(spark, sf_dir), "s_suppkey")
+    fore = F.when(F.col("l_orderkey") % 3 == 0, "J").when(F.col("s_suppkey") % 2 == 0, "Jane").otherwise("John M.")
+    return r.select(
+        F.col("l_orderkey").alias("id"), F.concat(F.lit("Doe-"), F.col("s_suppkey") % 5).alias("name"), fore.alias("fore"),
+        F.when(F.col("l_orderkey") % 11 == 0, F.lpad(F.col("s_suppkey").cast("string"), 4, "0")).otherwise("").alias("orcid"), "aff", F.concat(F.lit("j"), F.col("l_orderkey") % 4).alias("journal"), "coauthors",
+    )
+
+
+@query()
+def author_clusters(spark, sf_dir):
+    r = author_records(spark, sf_dir)
+    split = rs.split_contradictions(r, rs.components(r.select("id"), rs.links(r)))
+    return rs.agglomerate(r, split)
+
+
+@query()
+def cluster_summary(spark, sf_dir):
+    r = author_records(spark, sf_dir)
+    done = rs.agglomerate(r, rs.split_contradictions(r, rs.components(r.select("id"), rs.links(r))))
+    return rs.summarise(r, done).select("cluster", "orcid", "fore", "name", F.array_join("insts", "|").alias("insts"), "n")
+
+
+@query(f"WITH {RULED} SELECT count(*) FILTER (WHERE rule IS NULL) AS kept, count(*) AS entries, count(*) FILTER (WHERE rule IS NULL)::DOUBLE / count(*) AS retention FROM ruled JOIN labels ON doc_id = item WHERE quality = 1")
+def retention(spark, sf_dir):
+    entries = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("item"))
+    return ev.retention(entries, judged(spark, sf_dir).where("rule is null"))
+
+
+_ARCHIVED = "CASE item % 4 WHEN 0 THEN 'A section' WHEN 1 THEN 'B section' WHEN 2 THEN 'C section' ELSE 'Pinned' END"
+
+
+@query(f"WITH {SCORED}, x AS (SELECT section = CASE item % 4 WHEN 0 THEN 'Alpha' WHEN 1 THEN 'Beta' ELSE 'Gamma' END AS ok FROM scored WHERE item % 4 < 3) SELECT CAST(sum(ok::INT) AS BIGINT) AS agreed, count(*) AS comparable, sum(ok::INT)::DOUBLE / count(*) AS agreement FROM x")
+def section_agreement(spark, sf_dir):
+    alias = spark.createDataFrame([("A section", "Alpha"), ("B section", "Beta"), ("C section", "Gamma"), ("Pinned", "*")], "archived string, ours string")
+    own = papers(spark, sf_dir).select("item", sl.section(CONFIG).alias("section"))
+    return ev.section_agreement(own.select("item", F.expr(_ARCHIVED).alias("section")), own, alias)
+
+
+def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return final(spark, sf_dir).select("item", "score").join(table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "item"), "item")
+
+
+@query(f"WITH {SCORED}, t AS (SELECT score, quality FROM final JOIN labels ON doc_id = item), p AS (SELECT a.score AS s, b.score AS z FROM t a JOIN t b ON a.quality = 1 AND b.quality = 0) SELECT (SELECT count(*) FROM t WHERE quality = 1) AS positives, (SELECT count(*) FROM t WHERE quality = 0) AS negatives, round(avg(CASE WHEN s > z THEN 1.0 WHEN s = z THEN 0.5 ELSE 0 END), 9) AS auc FROM p")
+def auc_pairs(spark, sf_dir):
+    return ev.auc(tagged(spark, sf_dir), F.col("quality") == 1).withColumn("auc", F.round("auc", 9))
+
+
+@query(f"WITH {SCORED} SELECT quality AS tag, round(avg(score), 9) AS mean_score, count(*) AS n FROM final JOIN labels ON doc_id = item GROUP BY 1")
+def mean_score_by_tag(spark, sf_dir):
+    return ev.mean_by_tag(tagged(spark, sf_dir).withColumnRenamed("quality", "tag")).withColumn("mean_score", F.round("mean_score", 9))
+
+
+@query(f"WITH {SCORED}, t AS (SELECT quality = 1 AS good, row_number() OVER (ORDER BY score DESC, item) AS r FROM final JOIN labels ON doc_id = item) SELECT CAST(sum(good::INT) FILTER (WHERE r <= 25) AS BIGINT) AS inside, CAST(sum(good::INT) AS BIGINT) AS flagged FROM t")
+def starred_in_top(spark, sf_dir):
+    return ev.top_share(tagged(spark, sf_dir), F.col("quality") == 1, 25)
+
+
+@query("WITH r AS (SELECT o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) - row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS d FROM orders) SELECT o_orderpriority, count(*) AS n, round(1 - 6 * sum(d * d)::DOUBLE / (count(*)::DOUBLE * (count(*)::DOUBLE * count(*) - 1)), 9) AS rho FROM r GROUP BY 1")
+def spearman_rank(spark, sf_dir):
+    return ev.spearman(table(spark, sf_dir, "orders"), "o_totalprice", "o_orderdate", ["o_orderpriority"], "o_orderkey").withColumn("rho", F.round("rho", 9))
+
+
+_TRIM = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"WITH t AS (SELECT doc_id, {_TRIM} AS x FROM documents), h AS (SELECT *, substr(x, 1, 220) AS hd FROM t), l AS (SELECT *, CASE WHEN strpos(reverse(hd), ' ') > 0 THEN 220 - strpos(reverse(hd), ' ') ELSE -1 END AS last FROM h) SELECT doc_id, CASE WHEN length(x) <= 220 THEN x ELSE regexp_replace(CASE WHEN last > 40 THEN substr(hd, 1, last) ELSE hd END, '\\s+$', '') || '…' END AS snippet FROM l")
+def snippet(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.snippet(F.col("text")).alias("snippet"))
+
+
+@query("SELECT page_id, replace(replace(replace(replace(replace(substr(html, 1, 400), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped FROM pages")
+def escape(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", tx.escape_html(F.substring("html", 1, 400)).alias("escaped"))
+
+
+@query("SELECT c_custkey, CAST(list_reduce(list_prepend(0::HUGEINT, list_transform(string_split(c_name, ''), lambda c: ascii(c)::HUGEINT)), lambda h, c: (h * 31 + c) % 4294967296) % 7 AS INT) AS weekday FROM customer")
+def weekday_hash(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", tx.weekday(F.col("c_name")).alias("weekday"))
+
+
+@query("SELECT doc_id, 'a=feedback&u=' || source || '&t=' || replace(lang || ' x', ' ', '+') AS tail, replace('Respiratory_ARDS_' || lang, '_', ' ') AS pretty, strftime(DATE '2024-01-10' - INTERVAL 7 DAY, '%b %-d') || ' – ' || strftime(DATE '2024-01-10', '%b %-d, %Y') AS range FROM documents")
+def presentation_labels(spark, sf_dir):
+    url = tx.link("https://example.org/", a=F.lit("feedback"), u=F.col("source"), t=F.concat("lang", F.lit(" x")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.substring_index(url, "?", -1).alias("tail"), tx.pretty_section(F.concat(F.lit("Respiratory_ARDS_"), "lang")).alias("pretty"), tx.date_range(F.lit("2024-01-10").cast("date"), 7).alias("range"))
+
+
