@@ -31,6 +31,8 @@ from foliant.llm.common import ensure_checkpoint_dir, small_batches, utf8
 
 BLOCK = 4096
 SEGMENT_IDS = 1 << 19
+#: Widths of whole bytes need no shifts: the same bytes as little-endian integers.
+_WHOLE = {8: "<u1", 16: "<u2", 32: "<u4"}
 _HEAD = struct.Struct("<4sB3xIQQ")
 
 
@@ -40,6 +42,8 @@ def bits_for(vocabulary: int) -> int:
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """Ids below 2**bits; padded with zeros to a multiple of eight."""
+    if bits in _WHOLE:
+        return np.concatenate([ids, np.zeros(-len(ids) % 8, np.uint32)]).astype(_WHOLE[bits]).tobytes()
     rows = np.zeros((-(-len(ids) // 8), 8), np.uint64)
     rows.reshape(-1)[: len(ids)] = ids
     out = np.zeros((len(rows), bits + 8), np.uint8)
@@ -52,6 +56,8 @@ def pack(ids: np.ndarray, bits: int) -> bytes:
 
 
 def unpack(data: bytes | memoryview, n: int, bits: int) -> np.ndarray:
+    if bits in _WHOLE:
+        return np.frombuffer(data, _WHOLE[bits])[:n].astype(np.uint32)
     rows = np.frombuffer(data, np.uint8).reshape(-1, bits)
     out = np.empty((len(rows), 8), np.uint32)
     mask = np.uint64((1 << bits) - 1)
@@ -106,12 +112,21 @@ class Encoder:
 
     The byte-level pre-tokenizer always cuts before white space that follows something
     else, so a text's ids are those of its pieces "blanks + rest" in turn.  Pieces are cut
-    at spaces and line feeds; a text with other white space is encoded in one go.
+    at spaces and line feeds; a text with other white space is encoded in one go.  New
+    pieces that start with one space are encoded as one long text, since their first token
+    is the only one that starts with a space.
+
+    Keys: the rest of a piece that starts with one space, a piece that starts with one line
+    feed, and _PLAIN before any other piece.
     """
 
     _PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
     _OTHER = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
-    REMEMBERED = 400_000
+    _OTHER_ASCII = bytes([9, 11, 12, 13, 28, 29, 30, 31])
+    #: UTF-8 starts of white space beyond ASCII; some also start other characters.
+    _OTHER_STARTS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80\x80")
+    _PLAIN = "\r"
+    REMEMBERED, AT_ONCE = 1_500_000, 20_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -120,22 +135,54 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.known: dict[str, bytes] = {}
-
-    def _learn(self, pieces: list[str]) -> None:
-        for p, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cuts = [None if self._OTHER.search(t) else self._PIECES.findall(t) for t in texts]
+        self.spaced = np.zeros(self.vocabulary, bool)
+        self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
+
+    def _odd(self, raw: bytes, text: str) -> bool:
+        if len(raw.translate(None, self._OTHER_ASCII)) == len(raw) and not any(x in raw for x in self._OTHER_STARTS):
+            return False
+        return bool(self._OTHER.search(text))
+
+    def _keys(self, text: str) -> list[str]:
+        if not text:
+            return []
+        if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in ("  ", " \n", "\n ", "\n\n")):
+            return [p[1:] if p[0] == " " and p[1:2] not in ("", " ", "\n") else p if p[0] == "\n" and p[1:2] not in ("", " ", "\n") else self._PLAIN + p for p in self._PIECES.findall(text)]
+        keys = text.replace("\n", " \n").split(" ")
+        keys[0] = self._PLAIN + keys[0]
+        return keys
+
+    def _learn(self, keys: list[str]) -> None:
+        odd = [k for k in keys if k[0] in "\n\r"]
+        for k, e in zip(odd, self.tokenizer.encode_batch_fast([k.removeprefix(self._PLAIN) for k in odd], add_special_tokens=False), strict=True):
+            self.known[k] = np.array(e.ids, "<u4").tobytes()
+        for lo in range(0, len(keys), self.AT_ONCE):
+            part = [k for k in keys[lo : lo + self.AT_ONCE] if k[0] not in "\n\r"]
+            (e,) = self.tokenizer.encode_batch_fast(["".join([f" {k}" for k in part])], add_special_tokens=False)
+            ids = np.array(e.ids, "<u4")
+            starts = np.flatnonzero(self.spaced[ids]) * 4
+            if len(starts) != len(part):
+                raise ValueError("the tokenizer's tokens don't start with a space where its pieces do")
+            raw, at = ids.tobytes(), [*starts.tolist(), 4 * len(ids)]
+            self.known.update(zip(part, [raw[i:j] for i, j in zip(at, at[1:], strict=False)], strict=True))
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        words = [t.decode("utf-8", "replace") for t in texts]
+        cuts = [None if self._odd(t, w) else self._keys(w) for t, w in zip(texts, words, strict=True)]
         if len(self.known) > self.REMEMBERED:
             self.known.clear()
-        new = set().union(*(c for c in cuts if c)) - self.known.keys()
-        self._learn(list(new))
-        get = self.known.__getitem__
-        return [
-            np.frombuffer(b"".join(map(get, c)), "<u4") if c is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4")
-            for t, c in zip(texts, cuts, strict=True)
-        ]
+        get = self.known.get
+        found = [None if c is None else list(map(get, c)) for c in cuts]
+        self._learn(list({k for c, f in zip(cuts, found, strict=True) if c and None in f for k, v in zip(c, f, strict=True) if v is None}))
+        out = []
+        for w, c, f in zip(words, cuts, found, strict=True):
+            if f is None:
+                out.append(np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4"))
+                continue
+            if None in f:
+                f = [v if v is not None else get(k) for k, v in zip(c, f, strict=True)]
+            out.append(np.frombuffer(b"".join(f), "<u4"))
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -173,8 +220,7 @@ def write_token_table(docs: DataFrame, tokenizer: str, end_id: int, to: str) ->
         schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()), ("segment", pa.binary())])
         end = np.array([end_id], "<u4")
         for b in batches:
-            texts = [t.decode("utf-8", "replace") for t in b.column("_t").to_pylist()]
-            for d, ids in zip(b.column("doc_id").to_pylist(), enc.encode(texts), strict=True):
+            for d, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("_t").to_pylist()), strict=True):
                 doc_ids.append(d)
                 parts.append(np.concatenate([ids, end]))
                 held += len(ids) + 1
