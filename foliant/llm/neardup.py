@@ -8,10 +8,12 @@ errors, so all such pairs share a key.  At a similarity of 0.8 a pair shares non
 probability of 2e-5.  Candidates are confirmed on the full sets.
 
 Work per bucket of a key is linear in its size first: every member is compared with the
-bucket's smallest one.  What these links leave apart is then compared exactly: members
-outside the largest component of their bucket, with the bucket's members in other
-components.  Pairs within one component can add nothing and are never made, which spares
-large groups of copies their squares.  Documents with equal sets are one class throughout.
+bucket's most central one, that shares most buckets with others.  What these links leave
+apart is then compared exactly: members outside the largest component of their bucket, with
+such buckets' members in other components.  Pairs within one component can add nothing and
+are never made, and a prefix filter over the sets rules the others out before they are made
+unless they share shingles that are rare among these members: so copies that are too far
+from the rest of their group cost nothing.  Documents with equal sets are one class.
 """
 
 from __future__ import annotations
@@ -108,6 +110,13 @@ def _sets(words: int):
     return run
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for node, data in zip(b.column("node").to_pylist(), b.column("_set").to_pylist(), strict=True):
+            s = np.frombuffer(data, np.int64)
+            yield pa.record_batch([pa.array(s), pa.array(np.full(len(s), node))], ["shingle", "node"])
+
+
 def _confirm(numerator: int, denominator: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -137,9 +146,13 @@ def near_duplicates(docs: DataFrame, words: int = 4, similarity: tuple[int, int]
     classes = cut(rows.where("_cls is not null and doc_id is not null").groupBy("_cls").agg(F.min("doc_id").alias("rep"), F.first("_sig").alias("_sig"), F.first("n_shingles").alias("_n")))
 
     keys = cut(classes.select("rep", "_sig").mapInArrow(_spread, "key long, rep long"))
-    buckets = cut(keys.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("_size")).where("_size > 1").select("key", "centre"))
-    members = cut(keys.join(buckets, "key"))
-    nodes = cut(members.select(F.col("rep").alias("node")).distinct())
+    buckets = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1"))
+    sharing = cut(keys.join(buckets, "key"))
+    pull = cut(sharing.groupBy("rep").agg(F.sum("_size").alias("_pull")))
+    pulled = cut(sharing.select("key", "rep").join(pull, "rep"))
+    centres = cut(pulled.groupBy("key").agg(F.max(F.struct("_pull", (-F.col("rep")).alias("_down"))).alias("_top")).select("key", (-F.col("_top._down")).alias("centre")))
+    members = cut(pulled.select("key", "rep").join(centres, "key"))
+    nodes = cut(pull.select(F.col("rep").alias("node")))
     # Signatures and sets of the candidates only; sets come from the whole texts again.
     signed = cut(classes.join(nodes, F.col("rep") == F.col("node"), "left_semi").select(F.col("rep").alias("node"), "_sig", "_n"))
     wanted = own.withColumnRenamed("doc_id", "node").join(nodes, "node", "left_semi").mapInArrow(_sets(words), "node long, _set binary")
@@ -156,17 +169,29 @@ def near_duplicates(docs: DataFrame, words: int = 4, similarity: tuple[int, int]
         full = lambda s: sets.select(F.col("node").alias(s), F.col("_set").alias(f"_set_{s}"))
         return cut(near.join(full("a"), "a").join(full("b"), "b").mapInArrow(_confirm(num, den), "a long, b long").distinct())
 
-    stars = cut(members.where("rep != centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct())
+    pair = (F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b"))
+    stars = cut(members.where("rep != centre").select(*pair).distinct())
     links = confirmed(stars)
     found = components(links)
     placed = cut(members.join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("_c")))
     sizes = placed.groupBy("key", "_c").agg(F.count(F.lit(1)).alias("_m"))
     split = cut(sizes.groupBy("key").agg(F.count(F.lit(1)).alias("_parts"), F.max(F.struct("_m", "_c")).alias("_top")).where("_parts > 1").select("key", F.col("_top._c").alias("_main")))
     mixed = cut(placed.join(split, "key"))
-    few = cut(mixed.where("_c != _main").select("key", F.col("rep").alias("_x"), F.col("_c").alias("_cx")))
+    # Prefix filter: with shingles in order of rarity, the first one that two sets share bounds
+    # what they can still share from its positions on.
+    num, den = similarity
+    apart = cut(mixed.groupBy(F.col("rep").alias("node")).agg(F.first("_c").alias("_c"), F.max(F.col("_c") != F.col("_main")).alias("_few")))
+    said = cut(sets.join(apart.select("node"), "node", "left_semi").mapInArrow(_shingles, "shingle long, node long"))
+    rarity = cut(said.groupBy("shingle").agg(F.count(F.lit(1)).alias("_df")))
+    ordered = said.join(rarity, "shingle").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("_df", "shingle"))).alias("_all"))
+    length = F.size("_all") - F.ceil(F.size("_all") * num / den).cast("int") + 1
+    prefix = ordered.select("node", F.size("_all").alias("_n"), F.posexplode(F.slice("_all", F.lit(1), length)).alias("_i", "_x")).select("node", "_n", "_i", F.col("_x.shingle").alias("shingle"))
+    prefix = cut(prefix.join(apart, "node"))
+    few = cut(prefix.where("_few").select("shingle", *[F.col(c).alias(f"{c}_few") for c in ("node", "_n", "_i", "_c")]))
+    rest = F.least(F.col("_n") - F.col("_i"), F.col("_n_few") - F.col("_i_few"))
     cross = (
-        few.join(mixed.select("key", "rep", "_c"), "key").where("_cx != _c")
-        .select(F.least("_x", "rep").alias("a"), F.greatest("_x", "rep").alias("b")).distinct()
+        few.join(prefix, (few["shingle"] == prefix["shingle"]) & (F.col("_c_few") != F.col("_c")) & (den * rest >= num * (F.col("_n") + F.col("_n_few") - rest)))
+        .select(F.least("node_few", "node").alias("a"), F.greatest("node_few", "node").alias("b")).distinct()
         .join(stars, ["a", "b"], "left_anti")
     )
     links = cut(links.unionAll(confirmed(cut(cross))))
