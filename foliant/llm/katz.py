@@ -25,18 +25,18 @@ where they go.  Histories are known by 48 bits of their hash.
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import ensure_checkpoint_dir, learns, lower_words, small_batches, utf8, word_hash
+from foliant.llm.common import chunked, ensure_checkpoint_dir, learns, lower_words, small_batches, utf8, word_hash
 
 K, TRUST = 5, 1e-3
 START, END = np.uint64(0x51A2B3C4D5E6F708), np.uint64(0xE0D9C8B7A6958473)
@@ -149,13 +149,27 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, np.
 
 
 def _block_pairs(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words, histories (48 bits) and documents of all tokens of a block."""
+    """Distinct words (START last), and for each token its bigram's number, word * words + history, and its document."""
     w = np.concatenate(texts)
     size = np.array([len(t) for t in texts])
-    h = np.empty_like(w)
-    h[1:] = w[:-1]
-    h[np.cumsum(size) - size] = START
-    return w, h & LOW48, np.repeat(np.arange(len(texts), dtype=np.uint32), size)
+    words, at = np.unique(w, return_inverse=True)
+    words = np.append(words, START)
+    before = np.empty_like(at)
+    before[1:] = at[:-1]
+    before[np.cumsum(size) - size] = len(words) - 1
+    return words, at * len(words) + before, np.repeat(np.arange(len(texts), dtype=np.uint32), size)
+
+
+def _dealt(deal: Deal, words: np.ndarray, pairs: np.ndarray) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+    """By bucket: its share of the (sorted) bigrams, and columns distinct words, bigrams a word, histories."""
+    w, h = words[pairs // len(words)], words[pairs % len(words)] & LOW48
+    bucket = deal.bigram(w, h).astype(np.int16 if deal.buckets < 1 << 15 else np.int64)
+    order = np.argsort(bucket, kind="stable")
+    edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    for lo, hi in zip(edges, [*edges[1:], len(order)], strict=True):
+        own = order[lo:hi]
+        first = np.flatnonzero(np.append(True, w[own][1:] != w[own][:-1]))
+        yield int(bucket[own[0]]), own, [w[own][first], np.diff(np.append(first, len(own))).astype(np.uint32), h[own]]
 
 
 def _count_blocks(deal: Deal):
@@ -166,28 +180,14 @@ def _count_blocks(deal: Deal):
             texts = [t for t, x in zip(texts, train, strict=True) if x]
             if not texts:
                 continue
-            w, h, _ = _block_pairs(texts)
-            key, first, n = np.unique(_mix(w ^ _mix(h)), return_index=True, return_counts=True)
-            w, h, n = w[first], h[first], n.astype(np.uint32)
-            yield from _by_bucket(deal.bigram(w, h), 0, [(w, False), (h, False), (n, False)])
+            words, pair, _ = _block_pairs(texts)
+            pairs, n = np.unique(pair, return_counts=True)
+            for part in chunked(_dealt(deal, words, pairs), 64):
+                yield _packed([(bucket, 0, dump(*cols, n[own].astype(np.uint32))) for bucket, own, cols in part])
 
     return run
 
 
-def _by_bucket(bucket: np.ndarray, block: int, cols: list, most: int = 64) -> Iterator[pa.RecordBatch]:
-    order = np.argsort(bucket, kind="stable")
-    edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-    rows = []
-    for lo, hi in zip(edges, [*edges[1:], len(order)], strict=True):
-        at = order[lo:hi]
-        rows.append((int(bucket[at[0]]), block, dump(*[c[at] for c, _ in cols])))
-        if len(rows) == most:
-            yield _packed(rows)
-            rows = []
-    if rows:
-        yield _packed(rows)
-
-
 def _packed(rows: list) -> pa.RecordBatch:
     b, k, d = zip(*rows, strict=True)
     return pa.record_batch([pa.array(b, pa.int64()), pa.array(k, pa.int64()), pa.array(d, pa.binary())], ["bucket", "block", "data"])
@@ -196,6 +196,11 @@ def _packed(rows: list) -> pa.RecordBatch:
 PACKED = "bucket long, block long, data binary"
 
 
+def _unfolded(cols: list[np.ndarray]) -> list[np.ndarray]:
+    """Each bigram's word instead of distinct words and their numbers of bigrams."""
+    return [np.repeat(cols[0], cols[1]), *cols[2:]]
+
+
 def _word_counts(w: np.ndarray, c: np.ndarray, hot: np.ndarray, hot_counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct words, their training counts (frequent ones' from the whole table), and each row's word."""
     words, at = np.unique(w, return_inverse=True)
@@ -211,7 +216,7 @@ def _statistics(deal: Deal):
     """One row a bucket: counts of counts of bigrams and words, totals, and frequent words' counts."""
 
     def run(table: pa.Table) -> pa.Table:
-        parts = [load(x) for x in table.column("data").to_pylist()]
+        parts = [_unfolded(load(x)) for x in table.column("data").to_pylist()]
         w, h, n = (np.concatenate(c) for c in zip(*parts, strict=True))
         key, first, at = np.unique(_mix(w ^ _mix(h)), return_index=True, return_inverse=True)
         c = np.bincount(at, n, len(key)).astype(np.int64)
@@ -233,32 +238,23 @@ def _post_blocks(deal: Deal):
         part = TaskContext.get().partitionId()
         for seq, (ids, texts, train) in enumerate(_blocks(batches)):
             block = (part << 24) + seq
-            w, h, d = _block_pairs(texts)
-            key = _mix(w ^ _mix(h))
-            order = np.argsort(key, kind="stable")  # keeps documents in order within a bigram
-            key, doc = key[order], d[order]
-            new = np.empty(len(key), bool)
-            new[0] = True
-            new[1:] = key[1:] != key[:-1]
+            words, pair, d = _block_pairs(texts)
+            order = np.argsort(pair, kind="stable")  # keeps documents in order within a bigram
+            pair, doc = pair[order], d[order]
+            new = np.append(True, pair[1:] != pair[:-1])
             posting = new.copy()
             posting[1:] |= doc[1:] != doc[:-1]
             at = np.flatnonzero(posting)
-            times = np.diff(np.append(at, len(key))).astype(np.uint32)
-            pair = np.cumsum(new)[at] - 1
-            first = order[np.flatnonzero(new)]
-            pw, ph = w[first], h[first]
-            c = np.bincount(pair, times * train[doc[at]], len(first)).astype(np.uint32)
-            posts = np.bincount(pair, minlength=len(first))
-            bucket = deal.bigram(pw, ph)
-            turn = np.argsort(bucket, kind="stable")
+            times = np.diff(np.append(at, len(pair))).astype(np.uint32)
+            doc, number, pairs = doc[at], np.cumsum(new)[at] - 1, pair[new]
+            c = np.bincount(number, times * train[doc], len(pairs)).astype(np.uint32)
+            posts = np.bincount(number, minlength=len(pairs))
             starts = np.cumsum(posts) - posts
-            edges = np.flatnonzero(np.diff(bucket[turn], prepend=-1))
-            pd, rows = doc[at], []
-            for lo, hi in zip(edges, [*edges[1:], len(turn)], strict=True):
-                own = turn[lo:hi]
+            rows = []
+            for bucket, own, cols in _dealt(deal, words, pairs):
                 n = posts[own]
                 take = np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                rows.append((int(bucket[own[0]]), block, dump(pw[own], ph[own], c[own], n.astype(np.uint32), pd[take], times[take])))
+                rows.append((bucket, block, dump(*cols, c[own], n.astype(np.uint32), doc[take], times[take])))
                 if len(rows) == 64:
                     yield _packed(rows)
                     rows = []
@@ -279,7 +275,7 @@ def _evaluate(deal: Deal, model: Model):
         if table.column("bucket")[0].as_py() < 0:
             return pa.table({"kind": ["docs"] * table.num_rows, "bucket": table.column("block"), "block": table.column("block"), "data": table.column("data")})
         blocks = table.column("block").to_pylist()
-        parts = [load(x) for x in table.column("data").to_pylist()]
+        parts = [_unfolded(load(x)) for x in table.column("data").to_pylist()]
         w, h, c = (np.concatenate([p[i] for p in parts]) for i in range(3))
         key, first, at = np.unique(_mix(w ^ _mix(h)), return_index=True, return_inverse=True)
         total = np.bincount(at, c, len(key)).astype(np.int64)
@@ -412,6 +408,18 @@ def fit_katz(own: DataFrame, deal: Deal) -> Model:
     return model
 
 
+@contextmanager
+def one_use_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries run inside go as soon as those end, not with the driver's garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def katz_scores(docs: DataFrame, modulus: int = 10, held: int = 0) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``.
 
@@ -424,12 +432,11 @@ def katz_scores(docs: DataFrame, modulus: int = 10, held: int = 0) -> DataFrame:
     ensure_checkpoint_dir(spark)
     own = _prepared(docs, modulus, held)
     deal = deal_for(own)
-    model = fit_katz(own, deal)
-    # The counting shuffle isn't needed any more; let Spark's cleaner find it.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    with one_use_shuffles(spark):
+        model = fit_katz(own, deal)
     to = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/katz-{uuid.uuid4().hex}"
-    own.mapInArrow(_post_blocks(deal), PACKED).groupBy("bucket").applyInArrow(_evaluate(deal, model), OUT).write.partitionBy("kind").option("compression", "zstd").parquet(to)
+    with one_use_shuffles(spark):
+        own.mapInArrow(_post_blocks(deal), PACKED).groupBy("bucket").applyInArrow(_evaluate(deal, model), OUT).write.partitionBy("kind").option("compression", "zstd").parquet(to)
     tables = spark.read.schema(OUT).parquet(to)
     more = tables.where(F.col("kind").isin("hist", "miss")).groupBy("bucket").applyInArrow(_back_off, OUT)
     sums = tables.where(F.col("kind").isin("docs", "sums")).select("kind", "bucket", "block", "data").unionAll(more.select("kind", "bucket", "block", "data"))
