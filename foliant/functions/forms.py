@@ -33,7 +33,7 @@ def parse_form(body: Column, templates: list[str]) -> Column:
     f = {k: section(F.coalesce(body, F.lit("")), v) for k, v in LABELS.items()}
     cadence, tier = F.lower(f["cadence"]), F.lower(f["journal_tier"])
     picked = checked(f["templates"])
-    lines = F.filter(F.transform(F.split(f["authors"], "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(f["authors"], "\n"), lambda x: F.trim(x)), lambda x: x != "")
     ids = F.transform(lines, lambda x: F.struct(F.upper(F.regexp_extract(x, r"^(\S+)", 1)).alias("orcid"), F.nullif(F.trim(F.regexp_replace(x, r"^\S+", "")), F.lit("")).alias("label")))
     quoted = lambda c, tail: F.concat(F.lit('"'), c, F.lit(f'"{tail}'))
     missing = lambda k: F.lit(f'Missing required field "{LABELS[k]}".')
@@ -47,7 +47,7 @@ def parse_form(body: Column, templates: list[str]) -> Column:
         one("journal_tier", tier, TIERS),
         F.transform(F.filter(ids, lambda a: ~a["orcid"].rlike(ORCID)), lambda a: quoted(a["orcid"], " is not a valid ORCID iD (expected 0000-0000-0000-000X).")),
     )
-    keywords = F.filter(F.transform(F.split(f["keywords"], ","), F.trim), lambda x: x != "")
+    keywords = F.filter(F.transform(F.split(f["keywords"], ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.struct(
         f["email"].alias("email"), cadence.alias("cadence"), picked.alias("templates"), tier.alias("journal_tier"), checked(f["pub_types"]).alias("pub_types"),
         keywords.alias("extra_keywords"), F.filter(ids, lambda a: a["orcid"].rlike(ORCID)).alias("authors"), errors.alias("errors"),
