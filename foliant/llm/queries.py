@@ -42,7 +42,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), words=4, similarity=(80, 100))
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4, similarity=(80, 100)).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,4 +71,26 @@ QUERIES = {
     f.__name__: f
     for f in (op1_quality_classifier, op2_html_extraction, op3_sharding, op4_decontamination, op5_minhash_neardup, op6_toxicity, op7_sentencepiece_nbest, op8_quality_rules, op9_token_packing, op10_katz_scoring)
 }
-ORACLES: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BENCH_WORDS = f"list_filter(regexp_split_to_array({_LOWER}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
+_BLANK_WORDS = f"list_filter(regexp_split_to_array({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+ORACLES: dict[str, str] = {
+    "op4_decontamination": f"""
+        WITH d AS (SELECT doc_id, {_BENCH_WORDS} AS ws FROM documents), i AS (SELECT item_id::VARCHAR AS item, {_BENCH_WORDS} AS ws FROM benchmark),
+        sizes AS (SELECT DISTINCT least(13, len(ws)) AS n FROM i WHERE len(ws) > 0),
+        iw AS (SELECT DISTINCT item, n, array_to_string(ws[p:p + n - 1], ' ') AS k FROM (SELECT item, ws, least(13, len(ws)) AS n, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS p FROM i WHERE len(ws) > 0)),
+        dw AS (SELECT doc_id, n, p, array_to_string(ws[p:p + n - 1], ' ') AS k FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS p FROM d, sizes)),
+        m AS (SELECT doc_id, p, dw.n, item FROM dw JOIN iw USING (n, k)),
+        hits AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM m) GROUP BY 1),
+        its AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS l FROM m GROUP BY 1)
+        SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(l, '')) AS items_sha256,
+        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op5_minhash_neardup": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_BLANK_WORDS} AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(ws[p:p + least(4, len(ws)) - 1], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS p FROM d WHERE len(ws) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both_n FROM s x JOIN s y ON x.k = y.k AND x.doc_id <> y.doc_id GROUP BY ALL),
+        e AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * both_n >= 80 * (p.n + q.n - both_n)),
+        r AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, z.c AS component_id, d.doc_id = z.c AS kept FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(root) AS c FROM r GROUP BY 1) z ON z.id = d.doc_id""",
+}
