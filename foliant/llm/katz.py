@@ -40,8 +40,8 @@ from foliant.llm.common import chunked, ensure_checkpoint_dir, learns, lower_wor
 
 K, TRUST = 5, 1e-3
 START, END = np.uint64(0x51A2B3C4D5E6F708), np.uint64(0xE0D9C8B7A6958473)
-BLOCK_TOKENS = 3_000_000
-BUCKET_BYTES = 16 << 20
+BLOCK_TOKENS = 1_200_000
+BUCKET_BYTES = 8 << 20
 LOW48 = np.uint64((1 << 48) - 1)
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -182,7 +182,7 @@ def _count_blocks(deal: Deal):
                 continue
             words, pair, _ = _block_pairs(texts)
             pairs, n = np.unique(pair, return_counts=True)
-            for part in chunked(_dealt(deal, words, pairs), 64):
+            for part in chunked(_dealt(deal, words, pairs), 16):
                 yield _packed([(bucket, 0, dump(*cols, n[own].astype(np.uint32))) for bucket, own, cols in part])
 
     return run
@@ -238,6 +238,7 @@ def _post_blocks(deal: Deal):
         part = TaskContext.get().partitionId()
         for seq, (ids, texts, train) in enumerate(_blocks(batches)):
             block = (part << 24) + seq
+            sizes = np.array([len(t) for t in texts], np.int64)
             words, pair, d = _block_pairs(texts)
             order = np.argsort(pair, kind="stable")  # keeps documents in order within a bigram
             pair, doc = pair[order], d[order]
@@ -247,6 +248,7 @@ def _post_blocks(deal: Deal):
             at = np.flatnonzero(posting)
             times = np.diff(np.append(at, len(pair))).astype(np.uint32)
             doc, number, pairs = doc[at], np.cumsum(new)[at] - 1, pair[new]
+            del order, pair, d, new, posting, texts[:]
             c = np.bincount(number, times * train[doc], len(pairs)).astype(np.uint32)
             posts = np.bincount(number, minlength=len(pairs))
             starts = np.cumsum(posts) - posts
@@ -255,11 +257,11 @@ def _post_blocks(deal: Deal):
                 n = posts[own]
                 take = np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 rows.append((bucket, block, dump(*cols, c[own], n.astype(np.uint32), doc[take], times[take])))
-                if len(rows) == 64:
+                if len(rows) == 16:
                     yield _packed(rows)
                     rows = []
             known = np.array([x is not None for x in ids])
-            rows.append((-1 - block % deal.buckets, block, dump(np.array([x or 0 for x in ids], np.int64), known, np.array([len(t) for t in texts], np.int64))))
+            rows.append((-1 - block % deal.buckets, block, dump(np.array([x or 0 for x in ids], np.int64), known, sizes)))
             yield _packed(rows)
 
     return run
