@@ -297,7 +297,7 @@ def _evaluate(deal: Deal, model: Model):
             block.append(l)
             data.append(d)
 
-        lo = 0
+        lo, misses = 0, []
         for b, (pw, ph, _, n, doc, times) in zip(blocks, parts, strict=True):
             pair = np.repeat(at[lo : lo + len(pw)], n)
             lo += len(pw)
@@ -305,11 +305,12 @@ def _evaluate(deal: Deal, model: Model):
             put("sums", b, b, dump(np.bincount(doc, gain[pair] * times, size), np.bincount(doc, base[pair] * times, size), np.bincount(doc, times * (cw[of[pair]] > 0), size).astype(np.int64)))
             miss = ~seen[pair]
             if miss.any():
-                mh, md, mt = uh[pair[miss]], doc[miss], times[miss]
-                to = deal.history(mh)
-                for t in np.unique(to):
-                    s = to == t
-                    put("miss", int(t), b, dump(mh[s], md[s], mt[s]))
+                misses.append((uh[pair[miss]], np.full(int(miss.sum()), b, np.int64), doc[miss], times[miss]))
+        if misses:
+            cols = [np.concatenate(c) for c in zip(*misses, strict=True)]
+            to = deal.history(cols[0])
+            for t in np.unique(to):
+                put("miss", int(t), 0, dump(*[c[to == t] for c in cols]))
         hh, hat = np.unique(uh[seen], return_inverse=True)
         left = np.bincount(hat, total[seen] - discounted(total[seen], model.pair_discount), len(hh)).astype(np.float32)
         mass = np.bincount(hat, 10.0 ** word_log[of][seen], len(hh)).astype(np.float32)
@@ -329,21 +330,25 @@ def backoff(left: np.ndarray, mass: np.ndarray) -> np.ndarray:
 
 def _back_off(table: pa.Table) -> pa.Table:
     """Looks the unknown bigrams' histories up; sums for documents come out."""
-    kinds, blocks = table.column("kind").to_pylist(), table.column("block").to_pylist()
+    kinds = table.column("kind").to_pylist()
     data = [load(x) for x in table.column("data").to_pylist()]
     hist = [d for d, k in zip(data, kinds, strict=True) if k == "hist"]
     if hist:
         h, left, mass = (np.concatenate(c) for c in zip(*hist, strict=True))
         hh, at = np.unique(h, return_inverse=True)
         value = np.log10(backoff(np.bincount(at, left, len(hh)), np.bincount(at, mass, len(hh))))
-    out_block, out = [], []
-    for (h, doc, times), k, b in ((d, k, b) for d, k, b in zip(data, kinds, blocks, strict=True) if k == "miss"):
+    out_block, out, found = [], [], []
+    for h, block, doc, times in (d for d, k in zip(data, kinds, strict=True) if k == "miss"):
         add = np.zeros(len(h))
         if hist:
             i = np.minimum(np.searchsorted(hh, h), len(hh) - 1)
             add = np.where(hh[i] == h, value[i], 0.0)
-        out_block.append(b)
-        out.append(dump(doc, add * times))
+        found.append((block, doc, add * times))
+    if found:
+        block, doc, add = (np.concatenate(c) for c in zip(*found, strict=True))
+        for b in np.unique(block).tolist():
+            out_block.append(b)
+            out.append(dump(doc[block == b], add[block == b]))
     return pa.table({"kind": pa.array(["more"] * len(out), pa.string()), "bucket": pa.array(out_block, pa.int64()), "block": pa.array(out_block, pa.int64()), "data": pa.array(out, pa.binary())})
 
 
