@@ -123,8 +123,14 @@ CANDIDATES = "WITH RECURSIVE " + SCORED + POOL + (
 )
 
 
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with the item each stands for: its id modulo the number of documents."""
+    n = table(spark, sf_dir, "documents").count()
+    return table(spark, sf_dir, "events").withColumn("item", F.col("event_id") % max(n, 1))
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").withColumn("item", F.col("event_id") % 200)
+    e = events(spark, sf_dir)
     pool = st.unseen(e.select("user_id", "item").distinct(), e.where("event_type = 'view'"), ["user_id", "item"])
     return pool.join(final(spark, sf_dir).where("rule is null"), "item")
 
@@ -298,20 +304,20 @@ def digest_sections(spark, sf_dir):
 
 @query(CANDIDATES + ", total AS (SELECT user_id, count(*) AS candidates FROM pool GROUP BY 1) SELECT user_id, candidates, coalesce(k, 0) AS after_filter FROM total LEFT JOIN (SELECT user_id, count(*) AS k FROM cand GROUP BY 1) USING (user_id)")
 def digest_counters(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 200).alias("item")).distinct()
+    e = events(spark, sf_dir).select("user_id", "item").distinct()
     kept = candidates(spark, sf_dir).groupBy("user_id").agg(F.count(F.lit(1)).alias("k"))
     return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("candidates")).join(kept, "user_id", "left").select("user_id", "candidates", F.coalesce("k", F.lit(0)).alias("after_filter"))
 
 
 @query("SELECT DISTINCT user_id, event_id % 200 AS item FROM events e WHERE NOT EXISTS (SELECT 1 FROM events s WHERE s.event_type = 'view' AND s.user_id = e.user_id AND s.event_id % 200 = e.event_id % 200)")
 def pool_antijoin(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("item", F.col("event_id") % 200)
+    e = events(spark, sf_dir)
     return st.unseen(e.select("user_id", "item").distinct(), e.where("event_type = 'view'"), ["user_id", "item"])
 
 
 @query(f"WITH {PAPER}, watch AS (SELECT DISTINCT event_id % 200 AS item FROM events WHERE user_id = 7) , w AS (SELECT f.item, f.score FROM watch JOIN (SELECT * FROM (WITH {SCORED} SELECT item, score FROM final)) f USING (item)) SELECT item, score, rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, item) AS rank FROM w) WHERE rank <= 10")
 def author_bypass(spark, sf_dir):
-    watch = table(spark, sf_dir, "events").where("user_id = 7").select((F.col("event_id") % 200).alias("item"), "user_id").distinct()
+    watch = events(spark, sf_dir).where("user_id = 7").select("item", "user_id").distinct()
     return sl.author_block(final(spark, sf_dir).join(watch, "item")).select("item", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -353,14 +359,14 @@ def prune_cache(spark, sf_dir):
 
 @query("SELECT user_id, item FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seen_at DESC, item DESC) AS r FROM (SELECT user_id, event_id % 200 AS item, min(ts) AS seen_at FROM events GROUP BY ALL)) WHERE r <= 20")
 def seen_ledger_cap(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 200).alias("item"), F.col("ts").alias("seen_at"), "event_type")
+    e = events(spark, sf_dir).select("user_id", "item", F.col("ts").alias("seen_at"), "event_type")
     return st.mark_seen(e.where("event_type = 'view'").drop("event_type"), e.where("event_type <> 'view'").drop("event_type"), keep=20).select("user_id", "item")
 
 
 @query("SELECT user_id, item, tag FROM (SELECT user_id, event_id % 200 AS item, CASE event_id % 3 WHEN 0 THEN 'star' WHEN 1 THEN 'tilde' ELSE 'skip' END AS tag, row_number() OVER (PARTITION BY user_id, event_id % 200 ORDER BY ts DESC, CASE event_id % 3 WHEN 0 THEN 'star' WHEN 1 THEN 'tilde' ELSE 'skip' END) AS r FROM events) WHERE r = 1")
 def feedback_latest(spark, sf_dir):
     tag = F.when(F.col("event_id") % 3 == 0, "star").when(F.col("event_id") % 3 == 1, "tilde").otherwise("skip")
-    e = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 200).alias("item"), tag.alias("tag"), F.col("ts").alias("at"))
+    e = events(spark, sf_dir).select("user_id", "item", tag.alias("tag"), F.col("ts").alias("at"))
     return st.record_feedback(e).select("user_id", "item", "tag")
 
 
