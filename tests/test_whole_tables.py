@@ -10,6 +10,7 @@ import __spark_entry__ as e
 N_DOCS, N_EVENTS, USERS = 430, 1500, 9
 KINDS = ("view", "click", "save")
 START = datetime(2024, 1, 1)
+TEAMS = {10: (5, 6), 1990: (1, 2, 3), 2015: (2, 3), 5000: (4, 9), 5002: (4, 10, 11), 5003: (3, 12), 5043: (7, 12)}
 
 
 def put(spark, folder, name, rows, schema):
@@ -23,6 +24,9 @@ def folder(spark, tmp_path_factory):
     docs = [(i, f"Title {words[i % 6]}\nbody with {words[i % 5]} {words[i % 4]}", ("en", "de", "fr")[i % 3], f"src{i % 17}", 50 + i) for i in range(N_DOCS)]
     put(spark, to, "documents", docs, "doc_id long, text string, lang string, source string, n_chars long")
     put(spark, to, "events", [(i, START + timedelta(minutes=i * 7 % 1501), i * i % USERS, KINDS[i * 5 % 7 % 3]) for i in range(N_EVENTS)], "event_id long, ts timestamp, user_id long, event_type string")
+    put(spark, to, "lineitem", [(o, k) for o, team in TEAMS.items() for k in team], "l_orderkey long, l_suppkey long")
+    put(spark, to, "supplier", [(k, k % 2) for k in range(1, 13)], "s_suppkey long, s_nationkey int")
+    put(spark, to, "nation", [(0, "FRANCE"), (1, "PERU")], "n_nationkey int, n_name string")
     return to
 
 
@@ -77,3 +81,12 @@ def test_digests_choose_from_all_documents(spark, folder):
     assert counters == {u: (sum(x == u for x, _ in pool), left[u]) for u in range(USERS) if any(x == u for x, _ in pool)}
     watched = sorted((-papers[i].score, i) for x, i in pool if x == 7)[:10]
     assert [(r["item"], r["rank"]) for r in sorted(run(spark, "author_bypass", folder), key=lambda r: r["rank"])] == [(i, k) for k, (_, i) in enumerate(watched, 1)]
+
+
+def test_resolution_takes_all_orders(spark, folder):
+    want = {(a, b, round(len(set(x) & set(y)) / min(len(x), len(y)), 9)) for a, x in TEAMS.items() for b, y in TEAMS.items() if 0 < b - a <= 40}
+    assert {tuple(r) for r in run(spark, "overlap_similarity", folder)} == want and len(want) == 5
+    clusters = {r.id: r.cluster for r in run(spark, "author_clusters", folder)}
+    # 5000 and 5002 are by Jane of the University of FRANCE; no others share a name and a place or co-authors.
+    assert clusters == {o: 5000 if o == 5002 else o for o in TEAMS}
+    assert {r.cluster: r.n for r in run(spark, "cluster_summary", folder)} == {o: 1 + (o == 5000) for o in TEAMS if o != 5002}
