@@ -235,7 +235,7 @@ def profile_feedback(spark, sf_dir):
     v = counts(spark, sf_dir).withColumnRenamed("doc_id", "item")
     tag = F.when(F.col("quality") == 0, "skip").when(F.col("toxic") == 1, "tilde").otherwise("star")
     events = table(spark, sf_dir, "labels").select((F.col("doc_id") % 5).alias("user_id"), F.col("doc_id").alias("item"), tag.alias("tag"))
-    old = v.where("item < 50").groupBy((F.col("item") % 5).alias("user_id"), F.lit("positive").alias("polarity"), "term").agg(F.sum("n").cast("double").alias("weight"))
+    old = v.groupBy((F.col("item") % 5).alias("user_id"), F.lit("positive").alias("polarity"), "term").agg(F.sum("n").cast("double").alias("weight"))
     return pf.apply_feedback(old, events, v).withColumn("weight", F.round("weight", 6))
 
 
@@ -425,8 +425,8 @@ def overlap_similarity(spark, sf_dir):
     " SELECT id, min(c) AS component FROM r GROUP BY id"
 )
 def resolve_components(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").where("vec_id < 500")
-    edges = v.where("vec_id % 3 = 0").select(F.col("vec_id").alias("a"), ((F.col("vec_id") * 7 + F.col("label")) % 500).alias("b"))
+    v = table(spark, sf_dir, "embeddings")
+    edges = v.select(F.col("vec_id").alias("a"), ((F.col("vec_id") * 7 + F.col("label")) % max(v.count(), 1)).alias("b"))
     return rs.components(v.select(F.col("vec_id").alias("id")), edges)
 
 

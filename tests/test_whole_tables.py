@@ -10,6 +10,7 @@ import __spark_entry__ as e
 N_DOCS, N_EVENTS, USERS = 430, 1500, 9
 KINDS = ("view", "click", "save")
 START = datetime(2024, 1, 1)
+N_VECTORS = 640
 TEAMS = {10: (5, 6), 1990: (1, 2, 3), 2015: (2, 3), 5000: (4, 9), 5002: (4, 10, 11), 5003: (3, 12), 5043: (7, 12)}
 
 
@@ -27,6 +28,8 @@ def folder(spark, tmp_path_factory):
     put(spark, to, "lineitem", [(o, k) for o, team in TEAMS.items() for k in team], "l_orderkey long, l_suppkey long")
     put(spark, to, "supplier", [(k, k % 2) for k in range(1, 13)], "s_suppkey long, s_nationkey int")
     put(spark, to, "nation", [(0, "FRANCE"), (1, "PERU")], "n_nationkey int, n_name string")
+    put(spark, to, "embeddings", [(i, i % 10) for i in range(N_VECTORS)], "vec_id long, label int")
+    put(spark, to, "labels", [(i, i % 8 // 4, i % 7 // 6) for i in range(0, N_DOCS, 4)], "doc_id long, quality int, toxic int")
     return to
 
 
@@ -90,3 +93,44 @@ def test_resolution_takes_all_orders(spark, folder):
     # 5000 and 5002 are by Jane of the University of FRANCE; no others share a name and a place or co-authors.
     assert clusters == {o: 5000 if o == 5002 else o for o in TEAMS}
     assert {r.cluster: r.n for r in run(spark, "cluster_summary", folder)} == {o: 1 + (o == 5000) for o in TEAMS if o != 5002}
+
+
+def test_components_take_all_vectors(spark, folder):
+    near = {i: set() for i in range(N_VECTORS)}
+    for i in range(N_VECTORS):
+        j = (7 * i + i % 10) % N_VECTORS
+        near[i].add(j)
+        near[j].add(i)
+    want = {}
+    for i in range(N_VECTORS):
+        if i not in want:
+            todo = [i]
+            while todo:
+                x = todo.pop()
+                if x not in want:
+                    want[x] = i
+                    todo += near[x]
+    assert {r.id: r.component for r in run(spark, "resolve_components", folder)} == want
+
+
+def test_stored_profile_covers_all_documents(spark, folder):
+    from foliant.plans import bindings as b
+
+    n = {(r.doc_id, r.term): r.n for r in b.counts(spark, folder).collect()}
+    want = {}
+    for (d, term), k in n.items():
+        want[d % 5, "positive", term] = want.get((d % 5, "positive", term), 0) + 0.9 * k
+        if d % 4 == 0:
+            skip, tilde = d % 8 == 0, d % 7 == 6
+            key = (d % 5, "positive" if not skip else "negative", term)
+            want[key] = want.get(key, 0) + k * (1.0 if skip or not tilde else 0.3)
+    got = {(r.user_id, r.polarity, r.term): r.weight for r in run(spark, "profile_feedback", folder)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+
+
+def test_long_chains_settle(spark):
+    from foliant.operators import resolve as rs
+
+    nodes = spark.range(400)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(399) if i != 250], "a long, b long")
+    assert {r.id: r.component for r in rs.components(nodes, edges).collect()} == {i: 0 if i <= 250 else 251 for i in range(400)}
