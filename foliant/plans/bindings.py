@@ -506,7 +506,7 @@ def snippet(spark, sf_dir):
 
 @query("SELECT page_id, replace(replace(replace(replace(replace(substr(html, 1, 400), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped FROM pages")
 def escape(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", tx.escape_html(F.substring("html", 1, 400)).alias("escaped"))
+    return table(spark, sf_dir, "pages").select("page_id", tx.escape_html(F.col("html")).alias("escaped"))
 
 
 @query("SELECT c_custkey, CAST(list_reduce(list_prepend(0::HUGEINT, list_transform(string_split(c_name, ''), lambda c: ascii(c)::HUGEINT)), lambda h, c: (h * 31 + c) % 4294967296) % 7 AS INT) AS weekday FROM customer")

@@ -11,6 +11,7 @@ N_DOCS, N_EVENTS, USERS = 430, 1500, 9
 KINDS = ("view", "click", "save")
 START = datetime(2024, 1, 1)
 N_VECTORS = 640
+PAGES = [(1, "<p class=\"a\">x & y's</p>" * 40), (2, "é" * 399 + "<&"), (3, "")]
 TEAMS = {10: (5, 6), 1990: (1, 2, 3), 2015: (2, 3), 5000: (4, 9), 5002: (4, 10, 11), 5003: (3, 12), 5043: (7, 12)}
 
 
@@ -30,6 +31,7 @@ def folder(spark, tmp_path_factory):
     put(spark, to, "nation", [(0, "FRANCE"), (1, "PERU")], "n_nationkey int, n_name string")
     put(spark, to, "embeddings", [(i, i % 10) for i in range(N_VECTORS)], "vec_id long, label int")
     put(spark, to, "labels", [(i, i % 8 // 4, i % 7 // 6) for i in range(0, N_DOCS, 4)], "doc_id long, quality int, toxic int")
+    put(spark, to, "pages", PAGES, "page_id long, html string")
     return to
 
 
@@ -134,3 +136,9 @@ def test_long_chains_settle(spark):
     nodes = spark.range(400)
     edges = spark.createDataFrame([(i, i + 1) for i in range(399) if i != 250], "a long, b long")
     assert {r.id: r.component for r in rs.components(nodes, edges).collect()} == {i: 0 if i <= 250 else 251 for i in range(400)}
+
+
+def test_whole_pages_are_escaped(spark, folder):
+    from html import escape
+
+    assert {r.page_id: r.escaped for r in run(spark, "escape", folder)} == {i: escape(h).replace("&#x27;", "&#39;") for i, h in PAGES}
