@@ -112,9 +112,9 @@ class Encoder:
 
     The byte-level pre-tokenizer always cuts before white space that follows something
     else, so a text's ids are those of its pieces "blanks + rest" in turn.  Pieces are cut
-    at spaces and line feeds; a text with other white space is encoded in one go.  New
-    pieces that start with one space are encoded as one long text, since their first token
-    is the only one that starts with a space.
+    at spaces and line feeds; a text with other white space or an added token's content is
+    encoded in one go.  New pieces that start with one space are encoded as one long text,
+    since their first token is the only one that starts with a space.
 
     Keys: the rest of a piece that starts with one space, a piece that starts with one line
     feed, and _PLAIN before any other piece.
@@ -132,13 +132,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.known: dict[str, bytes] = {}
         self.spaced = np.zeros(self.vocabulary, bool)
         self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
 
     def _odd(self, raw: bytes, text: str) -> bool:
+        if any(x in raw for x in self.added):
+            return True
         if len(raw.translate(None, self._OTHER_ASCII)) == len(raw) and not any(x in raw for x in self._OTHER_STARTS):
             return False
         return bool(self._OTHER.search(text))
