@@ -5,8 +5,8 @@ block holds ``BLOCK`` ids (a multiple of 8) in the fewest bits that hold the voc
 little end first; eight ids fill ``bits`` bytes exactly, so packing and unpacking are a
 few shifts over whole columns, and any range of ids is read from the blocks it touches.
 
-    magic "FBP1" | bits u8 | 3 zero bytes | block size u32 | documents u64 | ids u64
-    document ids i64[] | ids per document u64[] | block offsets u64[blocks + 1] | blocks
+    magic "FBP2" | bits u8 | 3 zero bytes | block size u32 | documents u64 | ids u64 | documents without an id u64
+    document ids i64[] (0 for the first ones, that have none) | ids per document u64[] | block offsets u64[blocks + 1] | blocks
 
 On a cluster the segments are the rows of a Parquet table in the shared folder, in order
 of (part, seq).
@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import re
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -27,13 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import ensure_checkpoint_dir, small_batches, utf8
+from foliant.llm.common import few_rows, ship, utf8
+from foliant.tables import Scratch
 
 BLOCK = 4096
 SEGMENT_IDS = 1 << 19
 #: Widths of whole bytes need no shifts: the same bytes as little-endian integers.
 _WHOLE = {8: "<u1", 16: "<u2", 32: "<u4"}
-_HEAD = struct.Struct("<4sB3xIQQ")
+_HEAD = struct.Struct("<4sB3xIQQQ")
 
 
 def bits_for(vocabulary: int) -> int:
@@ -70,11 +70,13 @@ def unpack(data: bytes | memoryview, n: int, bits: int) -> np.ndarray:
     return out.reshape(-1)[:n]
 
 
-def write_segment(doc_ids: list[int], lengths: list[int], ids: np.ndarray, bits: int) -> bytes:
+def write_segment(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, bits: int) -> bytes:
+    """Documents without an id come before the others."""
+    unnamed = sum(d is None for d in doc_ids)
     blocks = [pack(ids[i : i + BLOCK], bits) for i in range(0, len(ids), BLOCK)]
     offsets = np.cumsum([0, *map(len, blocks)], dtype=np.uint64)
     return b"".join([
-        _HEAD.pack(b"FBP1", bits, BLOCK, len(doc_ids), len(ids)), np.array(doc_ids, "<i8").tobytes(), np.array(lengths, "<u8").tobytes(), offsets.astype("<u8").tobytes(), *blocks,
+        _HEAD.pack(b"FBP2", bits, BLOCK, len(doc_ids), len(ids), unnamed), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array(lengths, "<u8").tobytes(), offsets.astype("<u8").tobytes(), *blocks,
     ])
 
 
@@ -83,8 +85,8 @@ class Segment:
 
     def __init__(self, data: bytes | memoryview) -> None:
         self.data = memoryview(data)
-        magic, self.bits, self.block, docs, self.n_ids = _HEAD.unpack_from(self.data)
-        if magic != b"FBP1":
+        magic, self.bits, self.block, docs, self.n_ids, self.unnamed = _HEAD.unpack_from(self.data)
+        if magic != b"FBP2":
             raise ValueError("not a segment of packed ids")
         at = _HEAD.size
         self.doc_ids = np.frombuffer(self.data, "<i8", docs, at)
@@ -101,9 +103,10 @@ class Segment:
         n = min(last * self.block, self.n_ids) - first * self.block
         return unpack(data, n, self.bits)[lo - first * self.block : hi - first * self.block]
 
-    def documents(self) -> Iterator[tuple[int, np.ndarray]]:
+    def documents(self) -> Iterator[tuple[int | None, np.ndarray]]:
         ids, stops = self.range(0, self.n_ids), np.cumsum(self.lengths)
-        for d, stop, n in zip(self.doc_ids.tolist(), stops.tolist(), self.lengths.tolist(), strict=True):
+        named = [*[None] * self.unnamed, *self.doc_ids[self.unnamed :].tolist()]
+        for d, stop, n in zip(named, stops.tolist(), self.lengths.tolist(), strict=True):
             yield d, ids[stop - n : stop]
 
 
@@ -163,8 +166,10 @@ class Encoder:
             (e,) = self.tokenizer.encode_batch_fast(["".join([f" {k}" for k in part])], add_special_tokens=False)
             ids = np.array(e.ids, "<u4")
             starts = np.flatnonzero(self.spaced[ids]) * 4
-            if len(starts) != len(part):
-                raise ValueError("the tokenizer's tokens don't start with a space where its pieces do")
+            if len(starts) != len(part):  # some piece is no token run of its own: each alone
+                for k, one in zip(part, self.tokenizer.encode_batch_fast([f" {k}" for k in part], add_special_tokens=False), strict=True):
+                    self.known[k] = np.array(one.ids, "<u4").tobytes()
+                continue
             raw, at = ids.tobytes(), [*starts.tolist(), 4 * len(ids)]
             self.known.update(zip(part, [raw[i:j] for i, j in zip(at, at[1:], strict=False)], strict=True))
 
@@ -199,9 +204,10 @@ def encoder(path: str) -> Encoder:
 def write_token_table(docs: DataFrame, tokenizer: str, end_id: int, to: str) -> None:
     """Writes the segments of all documents, in ascending doc_id order, as a table at ``to``.
 
-    Null text is empty; rows that repeat an id follow one another in order of their text.
+    Null text is empty; rows that repeat an id follow one another in order of their text, and
+    rows without an id come first.  An empty table gives a table without segments.
     """
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(tokenizer), TaskContext.get().partitionId()
@@ -221,7 +227,7 @@ def write_token_table(docs: DataFrame, tokenizer: str, end_id: int, to: str) ->
 
         schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()), ("segment", pa.binary())])
         end = np.array([end_id], "<u4")
-        for b in batches:
+        for b in few_rows(batches):
             for d, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("_t").to_pylist()), strict=True):
                 doc_ids.append(d)
                 parts.append(np.concatenate([ids, end]))
@@ -245,7 +251,7 @@ def read_token_table(spark: SparkSession, at: str) -> DataFrame:
     bases = {r["part"]: b for r, b in zip(sizes, base, strict=False)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few_rows(batches):
             for part, start, data in zip(b.column("part").to_pylist(), b.column("start").to_pylist(), b.column("segment").to_pylist(), strict=True):
                 at, rows = bases[part] + start, []
                 for d, ids in Segment(data).documents():
@@ -269,8 +275,6 @@ def export_segments(stored: DataFrame, folder: str) -> list[str]:
 def packed_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """Writes the packed table to the shared folder and returns what is read back from it."""
     spark = docs.sparkSession
-    ensure_checkpoint_dir(spark)
-    to = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/tokens-{uuid.uuid4().hex}"
-    small_batches(spark)
-    write_token_table(docs, tokenizer, end_id, to)
-    return read_token_table(spark, to)
+    scratch = Scratch(spark, "tokens")
+    write_token_table(docs, tokenizer, end_id, f"{scratch.at}/segments")
+    return read_token_table(spark, f"{scratch.at}/segments")

@@ -20,21 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keeps the folder that the cluster names; sets one of our own only where none is."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="foliant-checkpoints-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: lineage ends in files that outlive an executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 _SHIPPED: set[str] = set()
 
 
@@ -52,12 +37,11 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Arrow batches are bounded by rows only, so very long texts need few of them."""
-    ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+def few_rows(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Slices of Spark's batches, so that what Python makes of one stays small."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
 
 
 def utf8(column: str | Column) -> Column:

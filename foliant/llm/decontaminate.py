@@ -6,8 +6,10 @@ which windows occur: a match of ``window`` words or more ends one there, and so
 match that holds a whole shorter item.  Words outside the items' vocabulary reset the
 match, so only runs of known words as long as the shortest window are followed at all.
 
-Items are packed into automata of at most ``BLOCK_WORDS`` words; a larger benchmark is
-streamed against one automaton after another, so what is broadcast stays bounded.
+Items are packed into automata of at most ``BLOCK_WORDS`` words (longer ones in parts that
+share window - 1 words), so what is broadcast stays bounded.  One automaton is met in the
+pass that judges; of a larger benchmark, texts are streamed against one automaton after
+another, and only what is hit is written and joined to the texts at the end.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.common import cut, small_batches, utf8
+from foliant.llm.common import few_rows, ship, utf8
+from foliant.tables import Scratch
 
 BLOCK_WORDS = 200_000
 _DIGITS_LETTERS = set(b"0123456789abcdefghijklmnopqrstuvwxyz")
@@ -57,10 +60,12 @@ class Automaton:
             if len(words) < window:
                 # Found once all items are in: later extensions may split the state.
                 short.setdefault(-1, set()).add((len(words), k))
+        # Items by the shortest state of window words or more: as many as there are windows at most.
         for v in sorted(range(1, len(self.length)), key=lambda v: -self.length[v]):
-            if self.link[v] > 0:
+            if self.length[self.link[v]] >= window:
                 ends[self.link[v]] |= ends[v]
-        self.items = [frozenset(e) for e in ends]
+                ends[v] = set()
+        self.items = {v: frozenset(e) for v, e in enumerate(ends) if e and self.length[v] >= window}
         for n, k in short.pop(-1, ()):
             v = 0
             for w in texts[k]:
@@ -111,7 +116,7 @@ class Automaton:
                 v = state
                 while self.length[self.link[v]] >= self.window:
                     v = self.link[v]
-                found |= self.items[v]
+                found |= self.items.get(v, frozenset())
                 hit[at + i + 1 - self.window : at + i + 1] = True
             for n, k in self.whole[state]:
                 if n <= matched:
@@ -135,13 +140,16 @@ class Automaton:
 def automata(benchmark: DataFrame, window: int = 13, block_words: int = BLOCK_WORDS) -> Iterator[Automaton]:
     block, size = [], 0
     rows = benchmark.select(benchmark["item_id"].cast("string").alias("i"), utf8(benchmark["text"]).alias("t")).where("i is not null").distinct()
+    step = max(block_words, window) - window + 1
     for r in rows.toLocalIterator():
         words = item_words(bytes(r["t"]))
-        block.append((r["i"], words))
-        size += len(words)
-        if size >= block_words:
-            yield Automaton(block, window)
-            block, size = [], 0
+        for lo in range(0, max(1, len(words) - window + 1), step):
+            part = words[lo : lo + step + window - 1]
+            if size and size + len(part) > block_words:
+                yield Automaton(block, window)
+                block, size = [], 0
+            block.append((r["i"], part))
+            size += len(part)
     if block:
         yield Automaton(block, window)
 
@@ -170,55 +178,83 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     the hit words' share is at least ``share``), spans (byte offsets of hit runs) and clean
     (the text without them; null where nothing is hit).  Null text has no words; items
     without words have no window; items with equal texts each count; an empty benchmark
-    hits nothing.  A column of ``docs`` named ``decontamination`` is replaced.
+    hits nothing.  Null and repeated ids are rows like others.  A column of ``docs`` named
+    ``decontamination`` is replaced; names of other columns don't matter.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     kind = T.StructType.fromDDL(
         "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,stop:long>>, clean string"
     )
+    fields = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("clean", pa.string())])
     own = docs.drop("decontamination")
-    carried = T.StructType([*own.schema.fields, T.StructField("_hit", T.BinaryType()), T.StructField("_items", T.ArrayType(T.StringType()))])
-    df = own.withColumns({"_hit": F.lit(None).cast("binary"), "_items": F.array().cast("array<string>")})
+    final = T.StructType([*own.schema.fields, T.StructField("decontamination", kind)])
+    width, place = len(own.columns), [f.name for f in own.schema.fields].index("text")
+
+    def judged(text: bytes | None, hit: np.ndarray | None, names: set[str]) -> dict:
+        words = len(item_words(text)) if hit is None else len(hit)
+        spans, clean = without_spans(text, hit) if hit is not None else ([], None)
+        n_hit = int(hit.sum()) if hit is not None else 0
+        return {
+            "n_words": words, "n_hit": n_hit, "n_items": len(names), "items_sha256": hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(),
+            "contaminated": n_hit > 0 and share[1] * n_hit >= share[0] * words, "spans": [{"start": a, "stop": z} for a, z in spans],
+            "clean": None if clean is None else clean.decode("utf-8", "replace"),
+        }
+
+    def at_once(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in few_rows(batches):
+                rows = []
+                for t in b.column(place).cast(pa.binary()).to_pylist():
+                    rows.append(judged(t, *(shared.value.scan(item_words(t)) if shared else (None, set()))))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, fields)], names=final.names)
+
+        return run
 
     def stream(shared):
+        """(key, hit, items) of the texts that an automaton hits."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton = shared.value
-            for b in batches:
-                masks, names = [], []
-                for t, was, found in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("_hit").to_pylist(), b.column("_items").to_pylist(), strict=True):
-                    hit, new = automaton.scan(item_words(t))
+            for b in few_rows(batches):
+                rows = []
+                for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    hit, names = shared.value.scan(item_words(t))
                     if hit is not None:
-                        if was is not None:
-                            hit |= np.unpackbits(np.frombuffer(was, np.uint8), count=len(hit)).astype(bool)
-                        was = np.packbits(hit).tobytes()
-                    masks.append(was)
-                    names.append(sorted({*found, *new}))
-                yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(masks, pa.binary()), pa.array(names, pa.list_(pa.string()))], names=carried.names)
+                        rows.append((k, np.packbits(hit).tobytes(), sorted(names)))
+                keys, hits, items = zip(*rows, strict=True) if rows else ((), (), ())
+                yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))], ["key", "hit", "items"])
 
         return run
 
-    waiting = None
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in few_rows(batches):
+            rows = []
+            for t, found in zip(b.column(place).cast(pa.binary()).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+                n = len(item_words(t))
+                masks = [np.unpackbits(np.frombuffer(x["hit"], np.uint8), count=n).astype(bool) for x in found or ()]
+                rows.append(judged(t, np.logical_or.reduce(masks) if masks else None, {i for x in found or () for i in x["items"]}))
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(rows, fields)], names=final.names)
+
+    scratch, kept, last = None, None, None
     for automaton in automata(benchmark, window, block_words):
-        if waiting:
-            df = cut(df.mapInArrow(waiting, carried))
-        waiting = stream(docs.sparkSession.sparkContext.broadcast(automaton))
+        if last is not None:
+            scratch = scratch or Scratch(spark, "decontamination")
+            hits = _hits(own, stream, spark.sparkContext.broadcast(last), scratch)
+            kept = hits if kept is None else kept.unionAll(hits)
+        last = automaton
+    shared = None if last is None else spark.sparkContext.broadcast(last)
+    if kept is None:
+        return own.mapInArrow(at_once(shared), final)
+    kept = kept.unionAll(_hits(own, stream, shared, scratch))
+    # A text has a row an automaton at most; columns are told by their place, so no name can clash.
+    found = scratch.keep(kept.groupBy("key").agg(F.collect_list(F.struct("hit", "items")).alias("found")))
+    scratch.leave(found)
+    named = own.toDF(*[f"c{i}" for i in range(len(own.columns))])
+    joined = named.withColumn("key", F.unhex(F.sha2(utf8(f"c{place}"), 256))).join(found, "key", "left").drop("key")
+    return joined.mapInArrow(gathered, final)
 
-    final = T.StructType([*own.schema.fields, T.StructField("decontamination", kind)])
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for t, mask, names in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("_hit").to_pylist(), b.column("_items").to_pylist(), strict=True):
-                words = len(item_words(t))
-                hit = np.unpackbits(np.frombuffer(mask, np.uint8), count=words).astype(bool) if mask else np.zeros(0, bool)
-                spans, clean = without_spans(t, hit) if mask else ([], None)
-                n_hit = int(hit.sum())
-                rows.append({
-                    "n_words": words, "n_hit": n_hit, "n_items": len(names), "items_sha256": hashlib.sha256(",".join(names).encode()).hexdigest(),
-                    "contaminated": n_hit > 0 and share[1] * n_hit >= share[0] * words, "spans": [{"start": a, "stop": z} for a, z in spans],
-                    "clean": None if clean is None else clean.decode("utf-8", "replace"),
-                })
-            fields = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("clean", pa.string())])
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(rows, fields)], names=final.names)
-
-    return df.mapInArrow((lambda batches: judge(waiting(batches))) if waiting else judge, final)
+def _hits(own: DataFrame, stream, shared, scratch: Scratch) -> DataFrame:
+    """Texts are known by their hash, so that rows of equal texts are scanned alike and written once."""
+    text = own.select(utf8(own["text"]).alias("t"))
+    return scratch.keep(text.select(F.unhex(F.sha2("t", 256)).alias("key"), "t").mapInArrow(stream(shared), "key binary, hit binary, items array<string>").dropDuplicates(["key"]))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import learns, small_batches, utf8
+from foliant.llm.common import few_rows, learns, ship, utf8
 from foliant.llm.labelled import labelled_sample
 
 FEATURES = (
@@ -151,7 +151,7 @@ def fit_gam(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, bins
 
 def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = 8000) -> Gam:
     """Fits on at most ``per_class`` documents a class, weighted back to the classes' sizes."""
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     sample, sizes = labelled_sample(docs, labels, "quality", per_class, lambda texts: [v.tobytes() for v in surfaces(texts)])
     x = np.array([np.frombuffer(r[0], np.float32) for r in sample], dtype=np.float32).reshape(len(sample), len(FEATURES))
     y = np.array([r[1] for r in sample], dtype=np.float64)
@@ -169,7 +169,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, per_class: int = 8000) ->
     model = fit_quality(docs, labels, per_class)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few_rows(batches):
             s = model.score(surfaces(b.column("_t").to_pylist()))
             yield pa.record_batch([b.column("doc_id"), b.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 

@@ -1,11 +1,18 @@
 """Main text of web pages from streamed parser events.
 
 The standard library's parser emits events; text between block boundaries is a line.  A
-line's ratio is its characters by the tags met while it was read.  Ratios are smoothed
-with a Gaussian, and lines above the threshold (their standard deviation) form clusters
-of content.  The region that holds the clusters, an article or else the deepest element
-with nearly all of their text, is the content, and all of its lines belong to the text
-but those in menus, headers, footers, side bars, notices, adverts, forms and comments.
+line's ratio is its unlinked characters by the tags met while it was read; lines in
+elements that are never content (scripts, menus, forms, hidden or hinted clutter) weigh
+nothing.  Ratios are smoothed with a Gaussian, and lines above the threshold (the
+standard deviation of the smoothed ratios) are the seeds of content.
+
+The content region is the article that holds most seeds, or else the smallest element that
+holds them all.  An article's lines all belong to the text.  Elsewhere density goes on
+deciding: between the first and the last seed, lines belong unless their block is mostly
+links; outside, only those that stand in one container with seeds.
+
+All work is linear in the page: elements know their parent, and what holds for an element
+is summed up or handed down once.
 """
 
 from __future__ import annotations
@@ -20,13 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import small_batches, utf8
+from foliant.llm.common import few_rows, ship, utf8
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " header hr html li main nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+INLINE = frozenset("p li a b strong em i span u small q cite code sub sup font mark".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Never content, whatever they hold.
 DROPPED = frozenset(
@@ -39,19 +47,33 @@ _HINT = re.compile(
     r"comments?|comment-?list|commentlist|respond|replies|disqus|menus?|navbar|navigation|nav|breadcrumbs?|footers?|masthead|topbar|site-?header|page-?header|"
     r"share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|signup|login|search|widgets?|toolbar|pagination|pager|tags?-?list|skip-?link)(?:[^a-z]|$)"
 )
-#: Containers that a hint must not drop: they hold the page or the article itself.
+#: Containers that a hint does not drop: they hold the page or the article itself.
 SHELL = frozenset("html body main article".split())
-SIGMA, REGION_SHARE = 1.0, 0.8
+SIGMA = 1.0
+#: Elements whose start closes an open p, li or such, and where the search for those ends.
+ENDS = {"li": "li", "option": "option", "tr": "tr", "td": "td", "th": "th", "dt": "dt", "dd": "dd"}
+P_BOUNDS = ("td", "th", "div", "article", "section", "li", "blockquote")
+ITEM_BOUNDS = ("ul", "ol", "table", "select", "dl")
+#: Share of linked characters from which a block is a menu.
+LINKED = 0.5
+
+
+@dataclass
+class Element:
+    tag: str
+    parent: int
+    hard: bool  # never content, by its tag, role or style
+    hinted: bool  # clutter by the words of its class or id
+    anew: bool  # an article: what surrounds it does not drop it
 
 
 @dataclass
 class Line:
     text: str
     tags: int
-    path: tuple[int, ...]
-    dropped: bool
+    at: int
     linked: int
-    item: bool
+    heading: bool
 
 
 class Lines(HTMLParser):
@@ -59,23 +81,29 @@ class Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # tag, number, dropped
-        self.names: dict[int, str] = {}
+        self.elements = [Element("", -1, False, False, False)]
+        self.open = [0]
+        self.places: dict[str, list[int]] = {}  # by tag, where it is on the stack
         self.lines: list[Line] = []
         self.parts: list[str] = []
-        self.tags = self.linked = self.links = 0
+        self.tags = self.linked = 0
+        self.met_article = False
 
-    def _dropped(self) -> bool:
-        return bool(self.open) and self.open[-1][2]
+    def _last(self, *tags: str) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append(Line(text, self.tags, tuple(n for _, n, _ in self.open), self._dropped(), self.linked, any(t == "li" for t, _, _ in self.open)))
+            self.lines.append(Line(text, self.tags, self.open[-1], self.linked, self._last(*HEADINGS) > 0))
         if text or self.parts:
             self.tags = self.linked = 0
         self.parts = []
 
+    def _pop_to(self, place: int) -> None:
+        while len(self.open) > place:
+            self.places[self.elements[self.open.pop()].tag].pop()
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
             self.flush()
@@ -83,34 +111,26 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         if tag in ENDS_P:
-            self._close_within("p", ("td", "th", "div", "article", "section", "li", "blockquote"))
-        if tag in ("li", "option", "tr", "td", "th", "dt", "dd"):
-            self._close_within(tag, ("ul", "ol", "table", "select", "dl"))
+            self._close_within("p", P_BOUNDS)
+        if tag in ENDS:
+            self._close_within(ENDS[tag], ITEM_BOUNDS)
         if tag == "body":
             self._close_within("head", ())
-        dropped = self._dropped()
-        if tag == "main" or (tag == "article" and "article" not in self.names.values() and not any(t in ("aside", "form") for t, _, _ in self.open)):
-            # An unclosed menu or advert before it must not swallow the article.
-            dropped = False
-        elif not dropped:
-            dropped = self._is_clutter(tag, attrs)
-        if tag == "header" and dropped and any(t in ("article", "main") for t, _, _ in self.open):
-            dropped = self._dropped()  # an article's own header keeps its headings, see Line selection
-        self.names[len(self.names)] = tag
-        self.open.append((tag, len(self.names) - 1, dropped))
-        if tag == "a":
-            self.links += 1
+        # An unclosed menu or advert before it must not swallow the article.
+        anew = tag == "main" or (tag == "article" and not self.met_article and not self._last("aside", "form"))
+        self.met_article |= tag == "article"
+        # An article's own header keeps its headings, see main_text.
+        own_header = tag == "header" and self._last("article", "main") > 0
+        hard = not anew and not own_header and (tag in DROPPED or tag == "header" or self._marked(attrs))
+        hinted = not anew and not own_header and tag not in SHELL and any(k in ("class", "id", "data-role", "data-component") and _HINT.search((v or "").lower()) for k, v in attrs)
+        self.elements.append(Element(tag, self.open[-1], hard, bool(hinted), anew))
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append(len(self.elements) - 1)
 
     @staticmethod
-    def _is_clutter(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in DROPPED or tag == "header":
-            return True
-        if tag in SHELL:
-            return False
+    def _marked(attrs: list[tuple[str, str | None]]) -> bool:
         for k, v in attrs:
             v = (v or "").lower()
-            if k in ("class", "id", "data-role", "data-component") and _HINT.search(v):
-                return True
             if k == "hidden" or (k == "role" and v in ROLES) or (k == "aria-hidden" and v == "true"):
                 return True
             if k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v):
@@ -124,30 +144,24 @@ class Lines(HTMLParser):
         if tag in BLOCK:
             self.flush()
         self.tags += 1
-        if tag == "a" and self.links:
-            self.links -= 1
-        if any(t == tag for t, _, _ in self.open):
-            while self.open.pop()[0] != tag:
-                pass
+        if self.places.get(tag):
+            self._pop_to(self.places[tag][-1])
 
     def _close_within(self, tag: str, bounds: tuple[str, ...]) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                self.flush()
-                del self.open[k:]
-                return
-            if self.open[k][0] in bounds:
-                return
+        at = self._last(tag)
+        if at > self._last(*bounds):
+            self.flush()
+            self._pop_to(at)
 
     def handle_data(self, data: str) -> None:
-        if self.open and self.open[-1][0] in ("script", "style", "title"):
+        if self.elements[self.open[-1]].tag in ("script", "style", "title"):
             return
         self.parts.append(data)
-        if self.links:
+        if self.places.get("a"):
             self.linked += len(data.strip())
 
 
-def page_lines(html: str) -> tuple[list[Line], dict[int, str]]:
+def page_lines(html: str) -> Lines:
     p = Lines()
     try:
         p.feed(html)
@@ -157,7 +171,7 @@ def page_lines(html: str) -> tuple[list[Line], dict[int, str]]:
         p.feed(re.sub(r"<!\[", "<! [", html))
         p.close()
     p.flush()
-    return p.lines, p.names
+    return p
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -167,64 +181,113 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(padded, kernel / kernel.sum(), mode="valid")
 
 
-def _region(seeds: list[Line], names: dict[int, str]) -> int | None:
-    """The element that holds the clusters; None for the whole page."""
-    weight: dict[int, int] = {}
-    for line in seeds:
-        for n in line.path:
-            weight[n] = weight.get(n, 0) + len(line.text)
-    total = sum(len(x.text) for x in seeds)
-    articles = [n for n, w in weight.items() if names[n] in ("article", "main") and 2 * w >= total]
-    if articles:
-        inner = [n for n in articles if names[n] == "article"]
-        return max(inner or articles, key=lambda n: (weight[n], n))
-    deep = [n for n, w in weight.items() if w >= REGION_SHARE * total and names[n] not in HEADINGS | {"p", "li", "a", "b", "strong", "em", "i", "span"}]
-    return max(deep, default=None)
+def _summed(own: list[int], elements: list[Element]) -> list[int]:
+    """What elements and all in them hold; children come after their parents."""
+    total = list(own)
+    for e in range(len(elements) - 1, 0, -1):
+        total[elements[e].parent] += total[e]
+    return total
+
+
+def _held(lines: list[Line], value: list[int], elements: list[Element]) -> list[int]:
+    own = [0] * len(elements)
+    for x, v in zip(lines, value, strict=True):
+        own[x.at] += v
+    return _summed(own, elements)
+
+
+def _dropped(lines: list[Line], elements: list[Element]) -> list[bool]:
+    """By element, whether it is clutter.  A hint on what holds most of the page and its title or article is none."""
+    size = [len(x.text) for x in lines]
+    held = _held(lines, size, elements)
+    titles = _summed([int(e.tag in ("h1", "article", "main")) for e in elements], elements)
+    out = [False] * len(elements)
+    for n, e in enumerate(elements[1:], 1):
+        hint = e.hinted and not (titles[n] and 2 * held[n] >= held[0])
+        out[n] = not e.anew and (e.hard or hint or out[e.parent])
+    return out
+
+
+def _inside(root: int, elements: list[Element]) -> list[bool]:
+    out = [False] * len(elements)
+    for n, e in enumerate(elements):
+        out[n] = n == root or (n > 0 and out[e.parent])
+    return out
+
+
+def seeds_of(lines: list[Line], free: list[bool]) -> list[bool]:
+    """Lines in the clusters of high smoothed text-to-tag ratio that are dense of their own, not by their neighbours alone."""
+    ratios = np.array([(len(x.text) - x.linked) / max(1, x.tags) if ok else 0.0 for x, ok in zip(lines, free, strict=True)])
+    smooth = smoothed(ratios)
+    bar = float(smooth.std())
+    found = [bool(ok and s >= bar and r >= bar) for s, r, ok in zip(smooth, ratios, free, strict=True)]
+    if any(found):
+        return found
+    best = max(float(s) for s, ok in zip(smooth, free, strict=True) if ok)
+    return [bool(ok and s >= best) for s, ok in zip(smooth, free, strict=True)]
 
 
 def main_text(html: str) -> str:
     """The page's content lines in order, joined by one space; empty if there is none."""
-    lines, names = page_lines(html)
-    if not any(not x.dropped for x in lines):
+    page = page_lines(html)
+    lines, elements = page.lines, page.elements
+    dropped = _dropped(lines, elements)
+    free = [not dropped[x.at] for x in lines]
+    if not any(free):
         return ""
-    smooth = smoothed(np.array([len(x.text) / max(1, x.tags) for x in lines]))
-    free = [i for i, x in enumerate(lines) if not x.dropped]
-    bar = min(float(smooth.std()), max(smooth[i] for i in free))
-    region = _region([lines[i] for i in free if smooth[i] >= bar], names)
+    seeds = seeds_of(lines, free)
+    weight = _held(lines, [len(x.text) * s for x, s in zip(lines, seeds, strict=True)], elements)
+    articles = [n for n, e in enumerate(elements) if e.tag in ("article", "main") and not dropped[n] and 2 * weight[n] >= weight[0] > 0]
+    if articles:
+        inner = [n for n in articles if elements[n].tag == "article"]
+        region = _inside(max(inner or articles, key=lambda n: (weight[n], n)), elements)
+        kept = [ok and region[x.at] and (x.heading or not header) for x, ok, header in zip(lines, free, _in_header(lines, elements), strict=True)]
+    else:
+        kept = _dense(lines, elements, free, seeds, weight)
+    return " ".join(x.text for x, k in zip(lines, kept, strict=True) if k)
+
+
+def _in_header(lines: list[Line], elements: list[Element]) -> list[bool]:
+    inside = [False] * len(elements)
+    for n, e in enumerate(elements[1:], 1):
+        inside[n] = e.tag == "header" or inside[e.parent]
+    return [inside[x.at] for x in lines]
+
+
+def _dense(lines: list[Line], elements: list[Element], free: list[bool], seeds: list[bool], weight: list[int]) -> list[bool]:
+    """Without an article: what stands with the clusters and is no menu."""
+    root = max(n for n, w in enumerate(weight) if w == weight[0] and elements[n].tag not in HEADINGS | INLINE)
+    region = _inside(root, elements)
+    whole = elements[root].tag in ("", "html", "body")
+    size = _held(lines, [len(x.text) for x in lines], elements)
+    linked = _held(lines, [x.linked for x in lines], elements)
+    # The outermost block around an element that holds no seed, if there is one.
+    block = [0] * len(elements)
+    for n, e in enumerate(elements[1:], 1):
+        block[n] = 0 if weight[n] else block[e.parent] or n
+    places = [i for i, s in enumerate(seeds) if s]
+    first, last = places[0], places[-1]
+    title = max((i for i in range(first) if free[i] and lines[i].heading), default=None)
     out = []
-    kept = [lines[i] for i in free if region is None or region in lines[i].path]
-    # Three list items in a row that are links and nothing else are a menu.
-    menus = run_lengths([x.item and x.linked >= 0.9 * len(x.text.replace(" ", "")) for x in kept])
-    for x, menu in zip(kept, menus, strict=True):
-        if menu >= 3:
-            continue
-        if any(names[n] == "header" for n in x.path) and not any(names[n] in HEADINGS for n in x.path):
-            continue
-        out.append(x.text)
-    return " ".join(out)
-
-
-def run_lengths(flags: list[bool]) -> list[int]:
-    """For each position the length of the run of set flags around it, 0 where unset."""
-    out, i = [0] * len(flags), 0
-    while i < len(flags):
-        j = i
-        while j < len(flags) and flags[j]:
-            j += 1
-        out[i:j] = [j - i] * (j - i)
-        i = max(j, i + 1)
+    for i, x in enumerate(lines):
+        b = block[x.at]
+        menu = (linked[b] >= LINKED * size[b]) if b else 2 * x.linked > len(x.text)
+        near = region[x.at] and (first < i < last or not whole or not b or elements[b].tag in ("p", "ul", "ol", "pre", "blockquote", *HEADINGS))
+        out.append(free[i] and (seeds[i] or (near and not menu) or (i == title and elements[b].tag in HEADINGS)))
     return out
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages``.
 
-    Null html has the empty text; repeated rows each get a row; other columns are ignored.
+    Null html has the empty text; repeated rows each get a row, null ids and urls stay null;
+    very long and deeply nested pages take time in proportion to their length; an empty table
+    gives an empty result; other columns are ignored.
     """
-    small_batches(pages.sparkSession)
+    ship(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few_rows(batches):
             texts = [main_text(h.decode("utf-8", "replace")) for h in b.column("_h").to_pylist()]
             yield pa.record_batch([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

@@ -25,18 +25,17 @@ where they go.  Histories are known by 48 bits of their hash.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import chunked, ensure_checkpoint_dir, learns, lower_words, small_batches, utf8, word_hash
+from foliant.llm.common import chunked, few_rows, learns, lower_words, ship, utf8, word_hash
+from foliant.tables import Scratch, one_use_shuffles
 
 K, TRUST = 5, 1e-3
 START, END = np.uint64(0x51A2B3C4D5E6F708), np.uint64(0xE0D9C8B7A6958473)
@@ -135,7 +134,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, np.
     texts: list[np.ndarray] = []
     train: list[bool] = []
     held = 0
-    for b in batches:
+    for b in few_rows(batches):
         for d, t, lr in zip(b.column("doc_id").to_pylist(), b.column("_t").to_pylist(), b.column("_train").to_pylist(), strict=True):
             ids.append(d)
             train.append(bool(lr))
@@ -312,12 +311,14 @@ def _evaluate(deal: Deal, model: Model):
             for t in np.unique(to):
                 put("miss", int(t), 0, dump(*[c[to == t] for c in cols]))
         hh, hat = np.unique(uh[seen], return_inverse=True)
-        left = np.bincount(hat, total[seen] - discounted(total[seen], model.pair_discount), len(hh)).astype(np.float32)
-        mass = np.bincount(hat, 10.0 ** word_log[of][seen], len(hh)).astype(np.float32)
+        # Numbers of bigrams by count, 1 to K and more, say what they leave exactly.
+        kinds = np.minimum(total[seen], K + 1) - 1
+        tally = np.bincount(hat * (K + 1) + kinds, minlength=len(hh) * (K + 1)).reshape(-1, K + 1).astype(np.uint32)
+        mass = np.bincount(hat, 10.0 ** word_log[of][seen], len(hh))
         to = deal.history(hh)
         for t in np.unique(to):
             s = to == t
-            put("hist", int(t), 0, dump(hh[s], left[s], mass[s]))
+            put("hist", int(t), 0, dump(hh[s], mass[s], *np.ascontiguousarray(tally[s].T)))
         return pa.table({"kind": pa.array(kind, pa.string()), "bucket": pa.array(bucket, pa.int64()), "block": pa.array(block, pa.int64()), "data": pa.array(data, pa.binary())})
 
     return run
@@ -328,15 +329,29 @@ def backoff(left: np.ndarray, mass: np.ndarray) -> np.ndarray:
     return left / np.maximum(1 - mass, 1e-12)
 
 
-def _back_off(table: pa.Table) -> pa.Table:
+def given_up(tally: list[np.ndarray], d: np.ndarray) -> np.ndarray:
+    """Sum of c - d(c) c over bigrams, of which there are ``tally`` of count 1 to K and more."""
+    return sum(n * (r * (1 - d[r]) if r <= K else TRUST) for r, n in enumerate(tally, 1))
+
+
+def _back_off(model: Model):
     """Looks the unknown bigrams' histories up; sums for documents come out."""
+
+    def run(table: pa.Table) -> pa.Table:
+        return _backed_off(table, model)
+
+    return run
+
+
+def _backed_off(table: pa.Table, model: Model) -> pa.Table:
     kinds = table.column("kind").to_pylist()
     data = [load(x) for x in table.column("data").to_pylist()]
     hist = [d for d, k in zip(data, kinds, strict=True) if k == "hist"]
     if hist:
-        h, left, mass = (np.concatenate(c) for c in zip(*hist, strict=True))
+        h, mass, *tally = (np.concatenate(c) for c in zip(*hist, strict=True))
         hh, at = np.unique(h, return_inverse=True)
-        value = np.log10(backoff(np.bincount(at, left, len(hh)), np.bincount(at, mass, len(hh))))
+        left = given_up([np.bincount(at, n, len(hh)) for n in tally], model.pair_discount)
+        value = np.log10(backoff(left, np.bincount(at, mass, len(hh))))
     out_block, out, found = [], [], []
     for h, block, doc, times in (d for d, k in zip(data, kinds, strict=True) if k == "miss"):
         add = np.zeros(len(h))
@@ -384,7 +399,7 @@ def deal_for(own: DataFrame, sample: int = 1500) -> Deal:
     buckets = max(12, -(-size // BUCKET_BYTES))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few_rows(batches):
             for t in b.column("_t").to_pylist():
                 w, n = np.unique(tokens(t), return_counts=True)
                 yield pa.record_batch([pa.array(w.view(np.int64)), pa.array(n.astype(np.int64))], ["w", "n"])
@@ -415,18 +430,6 @@ def fit_katz(own: DataFrame, deal: Deal) -> Model:
     return model
 
 
-@contextmanager
-def one_use_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of the queries run inside go as soon as those end, not with the driver's garbage."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    was = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, was)
-
-
 def katz_scores(docs: DataFrame, modulus: int = 10, held: int = 0) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``.
 
@@ -435,17 +438,17 @@ def katz_scores(docs: DataFrame, modulus: int = 10, held: int = 0) -> DataFrame:
     and are scored each.  Without training texts every token has probability one.
     """
     spark = docs.sparkSession
-    small_batches(spark)
-    ensure_checkpoint_dir(spark)
+    ship(spark)
+    scratch = Scratch(spark, "katz")
     own = _prepared(docs, modulus, held)
     deal = deal_for(own)
     with one_use_shuffles(spark):
         model = fit_katz(own, deal)
-    to = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/katz-{uuid.uuid4().hex}"
+    to = f"{scratch.at}/tables"
     with one_use_shuffles(spark):
         own.mapInArrow(_post_blocks(deal), PACKED).groupBy("bucket").applyInArrow(_evaluate(deal, model), OUT).write.partitionBy("kind").option("compression", "zstd").parquet(to)
     tables = spark.read.schema(OUT).parquet(to)
-    more = tables.where(F.col("kind").isin("hist", "miss")).groupBy("bucket").applyInArrow(_back_off, OUT)
+    more = tables.where(F.col("kind").isin("hist", "miss")).groupBy("bucket").applyInArrow(_back_off(model), OUT)
     sums = tables.where(F.col("kind").isin("docs", "sums")).select("kind", "bucket", "block", "data").unionAll(more.select("kind", "bucket", "block", "data"))
     done = sums.groupBy("block").applyInArrow(_finish(model), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return done.select("doc_id", (~F.coalesce(learns("doc_id", modulus, held), F.lit(True))).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

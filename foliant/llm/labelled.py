@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import learns, utf8
+from foliant.llm.common import few_rows, learns, utf8
 
 
 def labelled_sample(
@@ -32,7 +32,7 @@ def labelled_sample(
     ).join(F.broadcast(take), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few_rows(batches):
             out = describe(b.column("_t").to_pylist())
             yield pa.record_batch([b.column("doc_id"), pa.array(out, pa.binary()), b.column("_y"), b.column("_lang")], ["doc_id", "x", "y", "lang"])
 

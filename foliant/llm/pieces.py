@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.common import small_batches, utf8
+from foliant.llm.common import few_rows, ship, utf8
 
 BLANK = "▁"
 #: Stands for a literal BLANK of the text; a lone surrogate is in no valid text.
@@ -35,6 +35,8 @@ _UNITS = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
 #: What a byte costs below the worst piece.
 PENALTY = 10.0
 NONE = -1e30
+#: Decimals in which scores are compared; equal ones are ties.
+TIE = 7
 
 
 @dataclass(slots=True)
@@ -204,11 +206,12 @@ class PieceLattice:
         ahead = [0.0] + [NONE] * size
         for end in range(1, size + 1):
             ahead[end] = max(ahead[start] + s for start, s, _ in into[end])
-        # Cost so far is shared structure: (piece or spelled character, rest).
-        heap: list = [(-ahead[size], 0, size, 0.0, None)]
+        # Cost so far is shared structure: (piece or spelled character, rest).  Among equal scores
+        # the path nearest to the start is taken up first, so ties are not expanded in breadth.
+        heap: list = [(-ahead[size], size, 0, 0.0, None)]
         out, turn = [], 0
         while heap and len(out) < n:
-            _, _, end, had, rest = heapq.heappop(heap)
+            _, end, _, had, rest = heapq.heappop(heap)
             if end == 0:
                 ids: list[int] = []
                 while rest is not None:
@@ -218,7 +221,7 @@ class PieceLattice:
                 continue
             for start, s, i in into[end]:
                 turn += 1
-                heapq.heappush(heap, (-(had + s + ahead[start]), turn, start, had + s, ([i] if i >= 0 else self._spell(unit[start]), rest)))
+                heapq.heappush(heap, (-round(had + s + ahead[start], TIE), start, -turn, had + s, ([i] if i >= 0 else self._spell(unit[start]), rest)))
         if len(self.searched) > 50_000:
             self.searched.clear()
         self.searched[unit, n] = out
@@ -293,9 +296,12 @@ def encode_pieces(docs: DataFrame, model: str, n: int = 3) -> DataFrame:
 
     Its fields: ids of the best segmentation, their number and crc32 (as little-endian
     int32), scores and crcs of the up to ``n`` best, the decoded text, and whether it is the
-    text again.  Null and empty texts have no pieces.  A column ``pieces`` is replaced.
+    text again.  Null and empty texts have no pieces.  Segmentations of equal scores are in
+    any order, but always the same one; a text without blanks is one unit, whose search takes
+    time in proportion to its length.  Ids play no part, so null and repeated ones are
+    rows like others; an empty table gives an empty result.  A column ``pieces`` is replaced.
     """
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     own = docs.drop("pieces")
     kind = T.StructType.fromDDL(KIND)
     final = T.StructType([*own.schema.fields, T.StructField("pieces", kind)])
@@ -303,7 +309,7 @@ def encode_pieces(docs: DataFrame, model: str, n: int = 3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattice(model)
-        for b in batches:
+        for b in few_rows(batches):
             texts = [t or "" for t in b.column("text").to_pylist()]
             cols: list[list] = [[] for _ in range(7)]
             offsets = [0]

@@ -10,8 +10,8 @@ rank in hash order gives, so that counts differ by one at most.  In each round
    no links.  Each flow has an equal one back, so the quotas hold exactly at all times;
 3. the documents of a flow are the first by rank within (from, to).
 
-Groups larger than half a shard are split by a hash of the id first, since no shard
-could take them whole.  Ranks are computed in two levels (hash buckets, then rows in a
+Groups larger than a shard are split by a hash of the id first, since no shard could take
+them whole.  Ranks are computed in two levels (hash buckets, then rows in a
 bucket), so that no lane is sorted by a single task.
 
 Only DataFrame functions are used; what reaches the driver has shards**2 rows at most.
@@ -23,19 +23,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut
+from foliant.tables import cut
 
 SETTLED, NEUTRAL = -2, -1
+#: Buckets whose starts one task sums up.
+RUN = 1000
 
 
 def _ranked(df: DataFrame, lane: list[str], order: list[Column], buckets: int, name: str) -> DataFrame:
     """Adds ``name``: the row's rank from 0 within its lane, in order of (hash bucket, order)."""
     df = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    before = W.partitionBy(*lane).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    starts = (
-        df.groupBy(*lane, "_b").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    )
+    # Starts of buckets are summed in two levels as well: runs of buckets, then buckets in a run.
+    run = F.floor(F.col("_b") / RUN).cast("int")
+    before = lambda *by: W.partitionBy(*by).rowsBetween(W.unboundedPreceding, -1)
+    sizes = df.groupBy(*lane, "_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_run", run)
+    runs = sizes.groupBy(*lane, "_run").agg(F.sum("_n").alias("_m")).withColumn("_first", F.coalesce(F.sum("_m").over(before(*lane).orderBy("_run")), F.lit(0)))
+    own = F.coalesce(F.sum("_n").over(before(*lane, "_run").orderBy("_b")), F.lit(0))
+    starts = sizes.withColumn("_own", own).join(runs.drop("_m"), [*lane, "_run"]).select(*lane, "_b", (F.col("_first") + F.col("_own")).alias("_start"))
     within = W.partitionBy(*lane, "_b").orderBy(*order)
     return (
         df.withColumn("_r", F.row_number().over(within) - 1)
@@ -71,7 +75,8 @@ def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 4, bucket_r
 
     ``law`` is ``rows``: shard counts are at most one apart.  Null text counts as the
     empty text.  Repeated rows are equal texts like any others; ties among rows with the
-    same id are between rows that look the same.  An empty table gives an empty result.
+    same id are between rows that look the same; rows with a null id come first of their
+    bucket.  Very long texts only have a large ``size``.  An empty table gives an empty result.
     Other columns of ``docs`` are ignored.
     """
     spark = docs.sparkSession
@@ -89,7 +94,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 4, bucket_r
 
     groups = cut(
         base.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-        .withColumn("_parts", F.ceil(F.col("_n") * 2 / quota).cast("int"))
+        .withColumn("_parts", F.ceil(F.col("_n") / quota).cast("int"))
     )
     # The sizes come from files, not from an aggregation of the same key: a hot text's
     # rows then form a skewed join, which adaptive execution splits.
@@ -128,3 +133,12 @@ def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 4, bucket_r
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"),
         F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("_unit").isNotNull().alias("linked"),
     )
+
+
+def cut_edges(sharded: DataFrame) -> DataFrame:
+    """One row: edges (pairs of equal texts, told by checksum and size), and how many of them two shards cut."""
+    pairs = lambda n: n * (n - 1) / 2
+    here = sharded.groupBy("text_crc32", "size", "shard").agg(F.count(F.lit(1)).alias("_n"))
+    texts = here.groupBy("text_crc32", "size").agg(F.sum("_n").alias("_all"), F.sum(pairs(F.col("_n"))).alias("_within"))
+    sums = texts.agg(F.sum(pairs(F.col("_all"))).alias("edges"), F.sum(pairs(F.col("_all")) - F.col("_within")).alias("cut"))
+    return sums.select(*[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("edges", "cut")])

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import learns, small_batches, utf8, word_hash
+from foliant.llm.common import few_rows, learns, ship, utf8, word_hash
 from foliant.llm.labelled import labelled_sample
 
 SLOTS, PARTS, STEM = 1 << 16, 3, 4
@@ -170,7 +170,7 @@ def calibrate(scores: np.ndarray, y: np.ndarray, langs: list[str | None], defaul
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4000, default: float = 0.7) -> Cnn:
     """Fits on at most ``per_class`` documents a class; every fifth row only calibrates."""
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     sample, _ = labelled_sample(docs, labels, "toxic", per_class, lambda texts: [word_slots(t).tobytes() for t in texts])
     texts = [np.frombuffer(r[0], np.uint16).reshape(-1, PARTS) for r in sample]
     y = np.array([r[1] for r in sample], dtype=np.float64)
@@ -194,7 +194,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, per_class: int = 4000, d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, tables = shared.value
-        for b in batches:
+        for b in few_rows(batches):
             s = cnn_scores(net, [word_slots(t) for t in b.column("_t").to_pylist()], tables)
             cuts = np.array([net.thresholds.get(x, default) for x in b.column("_lang").to_pylist()], dtype=np.float64)
             yield pa.record_batch([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= default).astype(np.int32)), pa.array(cuts), pa.array(s >= cuts)], ["doc_id", "held_out", "score", "predicted", "threshold", "rejected"])
