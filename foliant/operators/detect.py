@@ -13,30 +13,33 @@ PEDIATRIC_HEADINGS = [
     "Infant", "Infant, Newborn", "Child", "Child, Preschool", "Adolescent", "Pediatrics", "Intensive Care Units, Pediatric",
     "Intensive Care Units, Neonatal", "Intensive Care, Neonatal", "Infant, Premature",
 ]
-PEDIATRIC = (
-    "pediatric,paediatric,children,child,neonat*,infant*,newborn,adolescent*,PICU,NICU,PCICU,preterm,premature infant,school-age,young people,PARDS"
-).split(",")
-COVID = "covid-19,covid19,covid,sars-cov-2,sars cov 2,coronavirus disease 2019".split(",")
+PEDIATRIC = [
+    "pediatric", "paediatric", "children", "child", "neonat*", "infant*", "newborn", "adolescent*", "PICU", "NICU", "PCICU", "preterm",
+    "premature infant", "school-age", "young people", "PARDS",
+]
+COVID = ["covid-19", "covid19", "covid", "sars-cov-2", "sars cov 2", "coronavirus disease 2019"]
 COVID_HEADINGS = ["COVID-19", "SARS-CoV-2", "Coronavirus Infections"]
-SURGICAL = (
-    "surgical technique,operative technique,anastomosis,laparoscop*,arthroplasty,fracture fixation,cholecystectomy,colorectal resection,hernia repair,"
-    "valve repair,valve replacement,graft patency,wound closure,suture technique,endoscopic resection,robotic surgery,incision"
-).split(",")
-OUTCOMES = (
-    "icu,intensive care,critical care,critically ill,mortality,ventilator,mechanical ventilation,vasopressor,sepsis,septic shock,organ failure,"
-    "icu length of stay,icu admission,extracorporeal,ecmo,renal replacement,shock"
-).split(",")
-EPIDEMIOLOGY = (
-    "prevalence,incidence trends,national burden,surveillance,seroprevalence,cross-sectional survey,disease burden,epidemiological trends,"
-    "population-based survey,registry description,health services utilization"
-).split(",")
-IMPLICATIONS = (
-    "management,treatment,therapy,intervention,outcome,mortality,guideline,protocol-directed,bedside,clinical decision,triage,practice"
-).split(",")
-PROTOCOL = (
-    "study protocol,trial protocol,statistical analysis plan,protocol for a randomized,protocol for a randomised,rationale and design,design and rationale,"
-    "a protocol for"
-).split(",")
+SURGICAL = [
+    "surgical technique", "operative technique", "anastomosis", "laparoscop*", "arthroplasty", "fracture fixation", "cholecystectomy",
+    "colorectal resection", "hernia repair", "valve repair", "valve replacement", "graft patency", "wound closure", "suture technique",
+    "endoscopic resection", "robotic surgery", "incision",
+]
+OUTCOMES = [
+    "icu", "intensive care", "critical care", "critically ill", "mortality", "ventilator", "mechanical ventilation", "vasopressor", "sepsis",
+    "septic shock", "organ failure", "icu length of stay", "icu admission", "extracorporeal", "ecmo", "renal replacement", "shock",
+]
+EPIDEMIOLOGY = [
+    "prevalence", "incidence trends", "national burden", "surveillance", "seroprevalence", "cross-sectional survey", "disease burden",
+    "epidemiological trends", "population-based survey", "registry description", "health services utilization",
+]
+IMPLICATIONS = [
+    "management", "treatment", "therapy", "intervention", "outcome", "mortality", "guideline", "protocol-directed", "bedside", "clinical decision",
+    "triage", "practice",
+]
+PROTOCOL = [
+    "study protocol", "trial protocol", "statistical analysis plan", "protocol for a randomized", "protocol for a randomised", "rationale and design",
+    "design and rationale", "a protocol for",
+]
 GUIDELINE = ["consensus statement", "society guideline", "clinical practice guideline", "position statement"]
 
 SIGNALS = (

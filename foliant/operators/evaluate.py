@@ -45,15 +45,24 @@ def top_share(scored: DataFrame, flag: Column, most: int = 25, key: str = "item"
     return top.agg(F.sum(flag.cast("long")).alias("inside")).crossJoin(scored.agg(F.sum(flag.cast("long")).alias("flagged")))
 
 
-def auc(scored: DataFrame, positive: Column, by: list[str] | None = None) -> DataFrame:
+def auc(scored: DataFrame, positive: Column, by: list[str] | None = None, ranges: int = 200) -> DataFrame:
     """(wins + ties / 2) / (positives * negatives), from counts by score rather than pairs.
 
-    Scores are counted first (combining before the shuffle); only distinct scores are ordered.
+    Scores are counted first (combining before the shuffle).  What lies below a score is what
+    lies in lower ranges of scores, of which there are few, and in its own: so no task orders
+    all distinct scores.
     """
     by = by or []
-    counts = scored.groupBy(*by, "score").agg(F.sum(positive.cast("long")).alias("_p"), F.sum((~positive).cast("long")).alias("_n"))
-    w = W.partitionBy(*by, F.lit(1)).orderBy("score").rowsBetween(W.unboundedPreceding, -1)
-    below = counts.withColumn("_below", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    flagged = scored.select(*by, F.col("score").cast("double").alias("score"), positive.cast("long").alias("_p"), (~positive).cast("long").alias("_n"))
+    bounds = flagged.agg(F.array_distinct(F.percentile_approx("score", [k / ranges for k in range(1, ranges)], 10_000)).alias("_bounds"))
+    counts = flagged.groupBy(*by, "score").agg(F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
+    at = F.size(F.filter("_bounds", lambda x: x < F.col("score")))
+    counts = counts.crossJoin(F.broadcast(bounds)).withColumn("_range", F.coalesce(at, F.lit(0))).drop("_bounds")
+    lower = W.partitionBy(*by, F.lit(1)).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.groupBy(*by, "_range").agg(F.sum("_n").alias("_sum")).withColumn("_start", F.coalesce(F.sum("_sum").over(lower), F.lit(0))).drop("_sum")
+    own = W.partitionBy(*by, "_range").orderBy("score").rowsBetween(W.unboundedPreceding, -1)
+    within = counts.withColumn("_own", F.coalesce(F.sum("_n").over(own), F.lit(0)))
+    below = within.join(starts, [*by, "_range"]).withColumn("_below", F.col("_start") + F.col("_own"))
     sums = below.groupBy(*by).agg(F.sum(F.col("_p") * (2 * F.col("_below") + F.col("_n"))).alias("_w"), F.sum("_p").alias("positives"), F.sum("_n").alias("negatives"))
     return sums.select(*by, "positives", "negatives", F.try_divide(F.col("_w").cast("double"), 2.0 * F.col("positives") * F.col("negatives")).alias("auc"))
 

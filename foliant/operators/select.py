@@ -146,19 +146,23 @@ def candidate_order(score: str = "score", item: str = "item") -> list[Column]:
     return [F.col(score).desc(), F.col(item).asc()]
 
 
-def greedy_digest(scored: DataFrame, hard_cap: int = 25, per_section: int = 5, non_primary: int = 4) -> DataFrame:
-    """(user_id, item, section, non_primary, score): what walking down the scores takes under all caps.
-
-    Rows that would meet a full section or a full class whatever came before are pruned by
-    ranks first (window group limits, before the sort's shuffle output grows), so that a
-    user's fold sees a few rows a section.  The fold is an array aggregation in the JVM.
+def digest_rows(scored: DataFrame, hard_cap: int = 25, per_section: int = 5, non_primary: int = 4, most: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(user_id, item, section, non_primary, score, *carry, chosen, rank) of chosen rows and the best others.
+
+    Chosen is what walking down the scores takes under all caps; ``rank`` numbers a user's
+    first ``most`` rows that were not chosen, null for chosen ones.  Rows that would meet a
+    full section or a full class whatever came before are pruned by ranks first, but for the
+    first hard_cap + most by score, among which the best others lie; so a user's fold, an
+    array aggregation in the JVM, sees a few rows a section.
     """
     lane = W.partitionBy("user_id", "section", "non_primary").orderBy(*candidate_order())
-    most = F.when(F.col("non_primary"), min(per_section, non_primary)).otherwise(per_section)
-    few = scored.withColumn("_r", F.row_number().over(lane)).where(F.col("_r") <= per_section).where(F.col("_r") <= most)
-    entry = F.struct((-F.col("score")).alias("down"), F.col("item"), F.col("section"), F.col("non_primary"), F.col("score"))
-    lists = few.groupBy("user_id").agg(F.array_sort(F.collect_list(entry)).alias("_all"))
-    kind = "array<struct<down:double,item:bigint,section:string,non_primary:boolean,score:double>>"
+    whole = W.partitionBy("user_id").orderBy(*candidate_order())
+    limit = F.when(F.col("non_primary"), min(per_section, non_primary)).otherwise(per_section)
+    ranked = scored.withColumns({"_r": F.row_number().over(lane), "_w": F.row_number().over(whole)})
+    few = ranked.where((F.col("_r") <= limit) | (F.col("_w") <= hard_cap + most))
+    entry = F.struct((-F.col("score")).alias("down"), F.col("item"), F.col("section"), F.col("non_primary"), F.col("score"), (F.col("_w") <= hard_cap + most).alias("head"), *[F.col(c) for c in carry])
+    lists = few.groupBy("user_id").agg(F.sort_array(F.collect_list(entry)).alias("_all"))
+    kind = lists.schema["_all"].dataType
 
     def take(got: Column, x: Column) -> Column:
         here = F.size(F.filter(got, lambda y: y["section"] == x["section"]))
@@ -166,12 +170,23 @@ def greedy_digest(scored: DataFrame, hard_cap: int = 25, per_section: int = 5, n
         fits = (F.size(got) < hard_cap) & (here < per_section) & (~x["non_primary"] | (letters < non_primary))
         return F.when(fits, F.concat(got, F.array(x))).otherwise(got)
 
-    folded = lists.select("user_id", F.explode(F.aggregate(F.col("_all").cast(kind), F.array().cast(kind), take)).alias("x"))
-    return folded.select("user_id", "x.item", "x.section", "x.non_primary", "x.score")
+    folded = lists.select("user_id", "_all", F.aggregate("_all", F.array().cast(kind), take).alias("_got"))
+    taken = F.transform("_got", lambda y: y["item"])
+    others = F.slice(F.filter("_all", lambda y: y["head"] & ~F.array_contains(taken, y["item"])), 1, most)
+    rows = F.concat(
+        F.transform("_got", lambda y: F.struct(y.alias("x"), F.lit(None).cast("int").alias("rank"))), F.transform(others, lambda y, i: F.struct(y.alias("x"), (i + 1).cast("int").alias("rank")))
+    )
+    flat = folded.select("user_id", F.explode(rows).alias("r"))
+    return flat.select("user_id", *[f"r.x.{c}" for c in ("item", "section", "non_primary", "score", *carry)], F.col("r.rank").isNull().alias("chosen"), "r.rank")
+
+
+def greedy_digest(scored: DataFrame, hard_cap: int = 25, per_section: int = 5, non_primary: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The chosen rows of ``digest_rows``."""
+    return digest_rows(scored, hard_cap, per_section, non_primary, 0, carry).where("chosen").drop("chosen", "rank")
 
 
 def runners_up(scored: DataFrame, chosen: DataFrame, hard_cap: int = 25, most: int = 3) -> DataFrame:
-    """The best rows that were not chosen; they lie within the first hard_cap + most by score."""
+    """The best rows that were not chosen, where a choice is at hand; they lie within the first hard_cap + most by score."""
     w = W.partitionBy("user_id").orderBy(*candidate_order())
     head = scored.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= hard_cap + most).drop("_r")
     left = head.join(chosen.select("user_id", "item"), ["user_id", "item"], "left_anti")
@@ -197,3 +212,41 @@ def author_block(watched: DataFrame, most: int = 10) -> DataFrame:
     """A user's best rows by authors they follow."""
     w = W.partitionBy("user_id").orderBy(*candidate_order())
     return watched.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+
+
+def scored_papers(judged: DataFrame, watched: DataFrame | None, preference: Column, config: Config, types: list[str] | None = None, keywords: Column | None = None) -> DataFrame:
+    """Records with base, boosts, score, section and practice_changing, for those that pass or are watched.
+
+    ``judged`` has verdicts; ``watched`` (item) lists records by followed authors, which pass
+    the filter and the choice of types whatever they are.  Order of work: verdict, choice of
+    types, base score, boosts (a user's keywords last), section.
+    """
+    df = judged.withColumn("is_watched", F.lit(False)) if watched is None else judged.join(watched.select("item").distinct().withColumn("_w", F.lit(True)), "item", "left").withColumn("is_watched", F.coalesce("_w", F.lit(False))).drop("_w")
+    passes = F.col("is_watched") | (F.col("rule").isNull() & (has_type(types) if types else F.lit(True)))
+    size = size_score(F.col("signals")["sample_size"], F.col("signals")["pediatric"])
+    base = base_score(F.col("tier"), study_score(F.col("pub_types"), config.study_scores), preference, size, config)
+    df = df.where(passes).withColumns({"base": base, "boosts": boosts(config, keywords)})
+    return df.withColumns({"score": boosted(F.col("base"), F.col("boosts")), "section": section(config), "practice_changing": practice_changing(F.col("tier")), "non_primary": has_type(NON_PRIMARY)})
+
+
+def watched_and_rest(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of followed authors, and all others, which alone compete for a digest."""
+    return scored.where("is_watched"), scored.where("not is_watched")
+
+
+def shown(chosen: DataFrame, author_rows: DataFrame, at: Column) -> DataFrame:
+    """(user_id, item, seen_at) of what a sent digest showed: authors' rows, pins and sections; runners-up are not."""
+    both = chosen.select("user_id", "item").unionByName(author_rows.select("user_id", "item")).distinct()
+    return both.withColumn("seen_at", at)
+
+
+def author_groups(block: DataFrame, watches: DataFrame) -> DataFrame:
+    """(user_id, who, place, items): a user's author block under each author's label, else ORCID, in order of first row, then name.
+
+    block: user_id, item, score, rank; watches: item, orcid, label, one row an item.
+    """
+    who = F.coalesce(F.nullif("label", F.lit("")), F.nullif("orcid", F.lit("")), F.lit("Followed author"))
+    rows = F.sort_array(F.collect_list(F.struct("rank", "item")))
+    grouped = block.join(watches, "item", "left").groupBy("user_id", who.alias("who")).agg(rows.alias("_rows"), F.min("rank").alias("_first"))
+    place = F.row_number().over(W.partitionBy("user_id").orderBy("_first", "who"))
+    return grouped.select("user_id", "who", place.alias("place"), F.transform("_rows", lambda x: x["item"]).alias("items"))

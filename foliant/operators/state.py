@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row a key, the first in ``order``; an aggregation, so hot keys combine before the shuffle."""
+    """One row a key, the first in ``order``: a ranked window, of which each task passes on one row a key (group limit)."""
     rest = [c for c in df.columns if c not in keys]
     ranked = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_r", F.row_number().over(ranked)).where("_r = 1").select(*keys, *rest)
@@ -51,13 +51,43 @@ def record_feedback(events: DataFrame, tokens: DataFrame | None = None) -> DataF
     return latest(events.where(F.col("tag").isin("star", "tilde", "skip")), ["user_id", "item"], [F.col("at").desc(), F.col("tag")])
 
 
+def add_feedback(log: DataFrame, events: DataFrame) -> DataFrame:
+    """The log with the events appended, none replaced."""
+    return log.unionByName(events.select(*log.columns))
+
+
+def load_feedback(log: DataFrame) -> DataFrame:
+    """The log in order of time; ties by user, item and tag."""
+    return log.orderBy("at", "user_id", "item", "tag")
+
+
+def save_profile(stored: DataFrame, profile: DataFrame) -> DataFrame:
+    """(user_id, polarity, term, weight): the given users' profiles replace theirs, others' stay."""
+    return stored.join(profile.select("user_id").distinct(), "user_id", "left_anti").unionByName(profile.select(*stored.columns))
+
+
+def load_profile(stored: DataFrame, users: DataFrame) -> DataFrame:
+    return stored.join(users.select("user_id").distinct(), "user_id", "left_semi")
+
+
+def page(df: DataFrame, key: str, after: Column | None, size: int = 1000) -> DataFrame:
+    """The next ``size`` rows by ``key`` beyond ``after`` (null: from the start); a filter on the key, not an offset."""
+    return (df if after is None else df.where(F.col(key) > after)).orderBy(key).limit(size)
+
+
 def confirm(users: DataFrame, clicks: DataFrame) -> DataFrame:
-    """Sets verified_at once for users whose token was clicked."""
+    """Sets verified_at once for users whose token was clicked; later clicks change nothing."""
     first = clicks.groupBy("user_id", "token").agg(F.min("at").alias("_at"))
     hit = users.join(first, (users["id"] == first["user_id"]) & (users["unsub_token"] == first["token"]), "left")
     return hit.select(*[users[c] for c in users.columns if c != "verified_at"], F.coalesce(users["verified_at"], "_at").alias("verified_at"))
 
 
+def unsubscribe(users: DataFrame, clicks: DataFrame) -> DataFrame:
+    """Users without those whose own token was clicked; a wrong token changes nothing."""
+    hit = (F.col("u.id") == F.col("c.user_id")) & (F.col("u.unsub_token") == F.col("c.token"))
+    return users.alias("u").join(clicks.select("user_id", "token").alias("c"), hit, "left_anti")
+
+
 def load_users(users: DataFrame, templates: DataFrame, configs: DataFrame, watches: DataFrame) -> DataFrame:
     """Users with their ordered templates, preferences (null without a row) and followed authors."""
     ordered = templates.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "slug"))), lambda x: x["slug"]).alias("templates"))

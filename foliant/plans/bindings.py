@@ -19,6 +19,7 @@ from foliant.operators import resolve as rs
 from foliant.operators import select as sl
 from foliant.operators import state as st
 from foliant.plans.config import Config, Terms
+from foliant.tables import Scratch, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,7 +45,8 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(found) if name in ("documents", "pages") else found
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +112,9 @@ def final(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-POOL = ", pool AS (SELECT DISTINCT user_id, event_id % 200 AS item FROM events), seen AS (SELECT DISTINCT user_id, event_id % 200 AS item FROM events WHERE event_type = 'view')"
+#: Events with the item each stands for.
+ITEMS = "event_id % (SELECT count(*) FROM documents)"
+POOL = f", pool AS (SELECT DISTINCT user_id, {ITEMS} AS item FROM events), seen AS (SELECT DISTINCT user_id, {ITEMS} AS item FROM events WHERE event_type = 'view')"
 CANDIDATES = "WITH RECURSIVE " + SCORED + POOL + (
     ", cand AS (SELECT user_id, item, section, score, non_primary, kind = 'Randomized Controlled Trial' AND tier <= 2 AND n_chars >= 100 AS practice_changing FROM pool JOIN final USING (item) WHERE rule IS NULL"
     " AND NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = pool.user_id AND s.item = pool.item)),"
@@ -135,14 +139,13 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pool.join(final(spark, sf_dir).where("rule is null"), "item")
 
 
-def digest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    c = candidates(spark, sf_dir)
-    return c, sl.greedy_digest(c, CONFIG.hard_cap, CONFIG.per_section, CONFIG.non_primary)
+def digest(spark: SparkSession, sf_dir: str, most: int = 0) -> DataFrame:
+    """Chosen rows, and the ``most`` best others, of every user."""
+    return sl.digest_rows(candidates(spark, sf_dir), CONFIG.hard_cap, CONFIG.per_section, CONFIG.non_primary, most, carry=("practice_changing",))
 
 
 def chosen_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, chosen = digest(spark, sf_dir)
-    return chosen.join(c.select("user_id", "item", "practice_changing"), ["user_id", "item"])
+    return digest(spark, sf_dir).where("chosen")
 
 
 TERMS = ("that", "tion", "thon", "sch*", "les")
@@ -150,13 +153,14 @@ TERMS = ("that", "tion", "thon", "sch*", "les")
 
 @query("SELECT doc_id, " + ", ".join(f"{_hit_sql('lower(text)', t)} AS t{i}" for i, t in enumerate(TERMS)) + " FROM documents")
 def term_hit(spark, sf_dir):
-    low = F.lower("text")
-    return table(spark, sf_dir, "documents").select("doc_id", *[tx.term_hit(low, t).alias(f"t{i}") for i, t in enumerate(TERMS)])
+    low = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("_low"))
+    return low.select("doc_id", *[tx.term_hit(F.col("_low"), t).alias(f"t{i}") for i, t in enumerate(TERMS)])
 
 
 @query("SELECT doc_id, concat_ws('|', " + ", ".join(f"CASE WHEN {_hit_sql('lower(text)', t)} THEN '{t}' END" for t in TERMS) + ") AS matched FROM documents")
 def term_audit(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(tx.term_hits(F.lower("text"), list(TERMS)), "|").alias("matched"))
+    low = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("_low"))
+    return low.select("doc_id", F.array_join(tx.term_hits(F.col("_low"), list(TERMS)), "|").alias("matched"))
 
 
 _SIZE_TEXT = "CASE WHEN o_orderkey % 3 = 0 THEN 'We enrolled ' || o_custkey || ' adults, n = ' || (o_orderkey % 977) WHEN o_orderkey % 3 = 1 THEN (o_custkey + 10) || ' patients and 12,345 cases' ELSE 'nothing' END"
@@ -195,8 +199,8 @@ _WORDS = f"w AS (SELECT doc_id, {_words_sql('text')} AS ws FROM documents), g AS
 
 
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.explode(tx.ngrams(tx.words(F.col("text")))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return pf.term_counts(d.select("doc_id", F.lit("").alias("title"), F.col("text").alias("abstract")), "doc_id")
 
 
 @query(f"WITH {_WORDS} SELECT doc_id, count(*) AS n_terms, CAST(sum(n) AS BIGINT) AS n_total, max(n) AS most FROM c GROUP BY doc_id")
@@ -208,31 +212,37 @@ _PROFILE = f"WITH {_WORDS}, liked AS (SELECT term, CAST(sum(n) AS BIGINT) AS wei
 _COS = "(SELECT doc_id, sum(n * weight)::DOUBLE / (sqrt(a) * sqrt((SELECT sum(weight * weight)::DOUBLE FROM {0}))) AS cosine FROM c JOIN {0} USING (term) JOIN norm USING (doc_id) GROUP BY doc_id, a)"
 
 
-def _profile(spark: SparkSession, sf_dir: str, where: str) -> DataFrame:
-    tagged = table(spark, sf_dir, "labels").where(where).select("doc_id")
-    return counts(spark, sf_dir).join(tagged, "doc_id").groupBy("term").agg(F.sum("n").alias("weight")).withColumn("user_id", F.lit(0).cast("long"))
+def tagged_matches(spark: SparkSession, sf_dir: str, polarities: tuple[str, ...]) -> DataFrame:
+    """Cosines of all documents to what labels like and dislike; the profile's rows are counted before a broadcast."""
+    scratch = Scratch(spark, "profile")
+    polarity = F.when(F.col("quality") == 0, "negative").when(F.col("toxic") == 0, "positive")
+    tags = table(spark, sf_dir, "labels").select("doc_id", polarity.alias("polarity")).where(F.col("polarity").isin(*polarities))
+    own = counts(spark, sf_dir).join(tags, "doc_id").groupBy(F.lit(0).cast("long").alias("user_id"), "polarity", "term")
+    profile = scratch.keep(own.agg(F.sum("n").alias("weight")))
+    scratch.leave(profile)
+    return pf.matches(counts(spark, sf_dir), profile, "doc_id", small=profile.count() <= pf.BROADCAST_TERMS)
 
 
 @query(_PROFILE + " SELECT doc_id, round(cosine, 9) AS cosine FROM " + _COS.format("liked"))
 def sparse_cosine(spark, sf_dir):
-    return pf.cosine(counts(spark, sf_dir), _profile(spark, sf_dir, "quality = 1 and toxic = 0"), "doc_id").select("doc_id", F.round("cosine", 9).alias("cosine"))
+    return tagged_matches(spark, sf_dir, ("positive",)).select("doc_id", F.round("positive", 9).alias("cosine"))
 
 
 @query(_PROFILE + f" SELECT doc_id, round(greatest(0, least(1, coalesce(p.cosine, 0) - 0.5 * coalesce(q.cosine, 0))), 9) AS preference FROM {_COS.format('liked')} p FULL JOIN {_COS.format('dis')} q USING (doc_id)")
 def preference_match(spark, sf_dir):
-    c = counts(spark, sf_dir)
-    liked, disliked = (pf.cosine(c, _profile(spark, sf_dir, w), "doc_id") for w in ("quality = 1 and toxic = 0", "quality = 0"))
-    return pf.preference(liked, disliked, "doc_id").select("doc_id", F.round("preference", 9).alias("preference"))
+    return tagged_matches(spark, sf_dir, ("positive", "negative")).select("doc_id", F.round(pf.preference(), 9).alias("preference"))
 
 
 @query(
     f"WITH {_WORDS}, e AS (SELECT doc_id % 5 AS user_id, doc_id, CASE WHEN quality = 0 THEN 'skip' WHEN toxic = 1 THEN 'tilde' ELSE 'star' END AS tag FROM labels),"
-    " old AS (SELECT doc_id % 5 AS user_id, 'positive' AS polarity, term, CAST(sum(n) AS DOUBLE) AS weight FROM c WHERE doc_id < 50 GROUP BY ALL)"
+    " old AS (SELECT doc_id % 5 AS user_id, 'positive' AS polarity, term, CAST(sum(n) AS DOUBLE) AS weight FROM c GROUP BY ALL)"
     " SELECT user_id, polarity, term, round(sum(weight), 6) AS weight FROM (SELECT user_id, polarity, term, weight * 0.9 AS weight FROM old UNION ALL"
     " SELECT user_id, CASE WHEN tag = 'skip' THEN 'negative' ELSE 'positive' END, term, n * CASE WHEN tag = 'tilde' THEN 0.3 ELSE 1.0 END FROM e JOIN c USING (doc_id)) GROUP BY ALL"
 )
 def profile_feedback(spark, sf_dir):
-    v = counts(spark, sf_dir).withColumnRenamed("doc_id", "item")
+    scratch = Scratch(spark, "vectors")
+    v = scratch.keep(counts(spark, sf_dir).withColumnRenamed("doc_id", "item"))
+    scratch.leave(v)
     tag = F.when(F.col("quality") == 0, "skip").when(F.col("toxic") == 1, "tilde").otherwise("star")
     events = table(spark, sf_dir, "labels").select((F.col("doc_id") % 5).alias("user_id"), F.col("doc_id").alias("item"), tag.alias("tag"))
     old = v.groupBy((F.col("item") % 5).alias("user_id"), F.lit("positive").alias("polarity"), "term").agg(F.sum("n").cast("double").alias("weight"))
@@ -278,13 +288,12 @@ def boosted_score(spark, sf_dir):
 
 @query(CANDIDATES + " SELECT user_id, item, section, score FROM chosen")
 def greedy_digest(spark, sf_dir):
-    return digest(spark, sf_dir)[1].select("user_id", "item", "section", "score")
+    return digest(spark, sf_dir).select("user_id", "item", "section", "score")
 
 
 @query(CANDIDATES + " SELECT user_id, item, rank FROM (SELECT o.user_id, o.item, row_number() OVER (PARTITION BY o.user_id ORDER BY o.score DESC, o.item) AS rank FROM ordered o ANTI JOIN chosen USING (user_id, item)) WHERE rank <= 3")
 def digest_borderline(spark, sf_dir):
-    c, chosen = digest(spark, sf_dir)
-    return sl.runners_up(c, chosen, CONFIG.hard_cap, CONFIG.borderline).select("user_id", "item", F.col("rank").cast("long").alias("rank"))
+    return digest(spark, sf_dir, CONFIG.borderline).where("not chosen").select("user_id", "item", F.col("rank").cast("long").alias("rank"))
 
 
 _PINS = ", pinned AS (SELECT * FROM (SELECT user_id, item, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item) AS rank FROM chosen WHERE practice_changing) WHERE rank <= 3)"
@@ -309,13 +318,13 @@ def digest_counters(spark, sf_dir):
     return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("candidates")).join(kept, "user_id", "left").select("user_id", "candidates", F.coalesce("k", F.lit(0)).alias("after_filter"))
 
 
-@query("SELECT DISTINCT user_id, event_id % 200 AS item FROM events e WHERE NOT EXISTS (SELECT 1 FROM events s WHERE s.event_type = 'view' AND s.user_id = e.user_id AND s.event_id % 200 = e.event_id % 200)")
+@query(f"WITH e AS (SELECT user_id, event_type, {ITEMS} AS item FROM events) SELECT DISTINCT user_id, item FROM e WHERE NOT EXISTS (SELECT 1 FROM e s WHERE s.event_type = 'view' AND s.user_id = e.user_id AND s.item = e.item)")
 def pool_antijoin(spark, sf_dir):
     e = events(spark, sf_dir)
     return st.unseen(e.select("user_id", "item").distinct(), e.where("event_type = 'view'"), ["user_id", "item"])
 
 
-@query(f"WITH {PAPER}, watch AS (SELECT DISTINCT event_id % 200 AS item FROM events WHERE user_id = 7) , w AS (SELECT f.item, f.score FROM watch JOIN (SELECT * FROM (WITH {SCORED} SELECT item, score FROM final)) f USING (item)) SELECT item, score, rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, item) AS rank FROM w) WHERE rank <= 10")
+@query(f"WITH {PAPER}, watch AS (SELECT DISTINCT {ITEMS} AS item FROM events WHERE user_id = 7) , w AS (SELECT f.item, f.score FROM watch JOIN (SELECT * FROM (WITH {SCORED} SELECT item, score FROM final)) f USING (item)) SELECT item, score, rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, item) AS rank FROM w) WHERE rank <= 10")
 def author_bypass(spark, sf_dir):
     watch = events(spark, sf_dir).where("user_id = 7").select("item", "user_id").distinct()
     return sl.author_block(final(spark, sf_dir).join(watch, "item")).select("item", "score", F.col("rank").cast("long").alias("rank"))
@@ -357,25 +366,34 @@ def prune_cache(spark, sf_dir):
     return st.prune(e, "day", F.lit("2024-01-30").cast("date"), 15).select("event_id")
 
 
-@query("SELECT user_id, item FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seen_at DESC, item DESC) AS r FROM (SELECT user_id, event_id % 200 AS item, min(ts) AS seen_at FROM events GROUP BY ALL)) WHERE r <= 20")
+@query(f"SELECT user_id, item FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seen_at DESC, item DESC) AS r FROM (SELECT user_id, {ITEMS} AS item, min(ts) AS seen_at FROM events GROUP BY ALL)) WHERE r <= 20")
 def seen_ledger_cap(spark, sf_dir):
     e = events(spark, sf_dir).select("user_id", "item", F.col("ts").alias("seen_at"), "event_type")
     return st.mark_seen(e.where("event_type = 'view'").drop("event_type"), e.where("event_type <> 'view'").drop("event_type"), keep=20).select("user_id", "item")
 
 
-@query("SELECT user_id, item, tag FROM (SELECT user_id, event_id % 200 AS item, CASE event_id % 3 WHEN 0 THEN 'star' WHEN 1 THEN 'tilde' ELSE 'skip' END AS tag, row_number() OVER (PARTITION BY user_id, event_id % 200 ORDER BY ts DESC, CASE event_id % 3 WHEN 0 THEN 'star' WHEN 1 THEN 'tilde' ELSE 'skip' END) AS r FROM events) WHERE r = 1")
+_TAG = "CASE event_id % 3 WHEN 0 THEN 'star' WHEN 1 THEN 'tilde' ELSE 'skip' END"
+
+
+@query(f"SELECT user_id, item, tag FROM (SELECT *, row_number() OVER (PARTITION BY user_id, item ORDER BY ts DESC, tag) AS r FROM (SELECT user_id, ts, {ITEMS} AS item, {_TAG} AS tag FROM events)) WHERE r = 1")
 def feedback_latest(spark, sf_dir):
     tag = F.when(F.col("event_id") % 3 == 0, "star").when(F.col("event_id") % 3 == 1, "tilde").otherwise("skip")
     e = events(spark, sf_dir).select("user_id", "item", tag.alias("tag"), F.col("ts").alias("at"))
     return st.record_feedback(e).select("user_id", "item", "tag")
 
 
-@query("SELECT s_suppkey AS user_id, coalesce(t, '') AS templates FROM supplier LEFT JOIN (SELECT l_suppkey AS s_suppkey, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS t FROM lineitem WHERE l_suppkey % 3 > 0 GROUP BY 1) USING (s_suppkey)")
+@query(
+    "SELECT c_custkey AS user_id, coalesce(t, '') AS templates, CASE WHEN c_nationkey < 5 THEN 'tier1' ELSE 'tier12' END AS journal_tier, coalesce(a, '') AS authors FROM customer"
+    " LEFT JOIN (SELECT o_custkey AS c_custkey, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS t FROM orders GROUP BY 1) USING (c_custkey)"
+    " LEFT JOIN (SELECT s_nationkey AS c_nationkey, string_agg(s_name, ',' ORDER BY s_name) AS a FROM supplier GROUP BY 1) USING (c_nationkey)"
+)
 def load_users(spark, sf_dir):
-    users = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), "s_name")
-    own = table(spark, sf_dir, "lineitem").where("l_suppkey % 3 > 0").select(F.col("l_suppkey").alias("user_id"), F.col("l_returnflag").alias("slug"), F.col("l_returnflag").alias("position")).distinct()
-    none = users.limit(0).select(F.col("id").alias("user_id"), F.lit("").alias("orcid"), F.lit("").alias("label"))
-    return st.load_users(users, own, none.select("user_id", F.lit("").alias("journal_tier")), none).select("user_id", F.array_join("templates", ",").alias("templates"))
+    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_nationkey")
+    own = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderpriority").alias("slug"), F.col("o_orderpriority").alias("position")).distinct()
+    configs = users.where("c_nationkey < 5").select(F.col("id").alias("user_id"), F.lit("tier1").alias("journal_tier"))
+    watches = users.join(table(spark, sf_dir, "supplier"), F.col("c_nationkey") == F.col("s_nationkey")).select(F.col("id").alias("user_id"), F.col("s_name").alias("orcid"), F.lit("").alias("label"))
+    found = st.load_users(users, own, configs, watches)
+    return found.select("user_id", F.array_join("templates", ",").alias("templates"), F.coalesce("journal_tier", F.lit("tier12")).alias("journal_tier"), F.array_join(F.transform("authors", lambda x: x["orcid"]), ",").alias("authors"))
 
 
 @query("SELECT DISTINCT n_name AS journal FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE') OR r_regionkey = 0")
@@ -408,7 +426,7 @@ def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_set(F.col("l_suppkey").cast("string"))).alias("co"))
 
 
-_SHIPPED = "o AS (SELECT l_orderkey AS id, list_sort(list_distinct(list(l_suppkey::VARCHAR))) AS co FROM lineitem WHERE l_orderkey <= 2000 GROUP BY 1)"
+_SHIPPED = "o AS (SELECT l_orderkey AS id, list_sort(list_distinct(list(l_suppkey::VARCHAR))) AS co FROM lineitem GROUP BY 1)"
 
 
 @query(f"WITH {_SHIPPED} SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.co, b.co))::DOUBLE / least(len(a.co), len(b.co)), 9) AS overlap FROM o a JOIN o b ON a.id < b.id AND b.id - a.id <= 40")
@@ -420,7 +438,7 @@ def overlap_similarity(spark, sf_dir):
 
 
 @query(
-    "WITH RECURSIVE e AS (SELECT DISTINCT vec_id AS a, (vec_id * 7 + label) % 500 AS b FROM embeddings WHERE vec_id < 500 AND vec_id % 3 = 0), n AS (SELECT vec_id AS id FROM embeddings WHERE vec_id < 500),"
+    "WITH RECURSIVE e AS (SELECT DISTINCT vec_id AS a, (vec_id * 7 + label) % (SELECT count(*) FROM embeddings) AS b FROM embeddings), n AS (SELECT vec_id AS id FROM embeddings),"
     " twoway AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT id, id AS c FROM n UNION SELECT t.b, r.c FROM r JOIN twoway t ON t.a = r.id)"
     " SELECT id, min(c) AS component FROM r GROUP BY id"
 )
@@ -504,7 +522,7 @@ def snippet(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.snippet(F.col("text")).alias("snippet"))
 
 
-@query("SELECT page_id, replace(replace(replace(replace(replace(substr(html, 1, 400), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped FROM pages")
+@query("SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped FROM pages")
 def escape(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tx.escape_html(F.col("html")).alias("escaped"))
 

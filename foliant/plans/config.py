@@ -134,3 +134,9 @@ def from_template(t: dict) -> Config:
 def narrowed(c: Config, journal_tier: str) -> Config:
     keep = {"tier1": 1, "tier12": 2}.get(journal_tier, 3)
     return replace(c, tiers=tuple(t if i < keep else () for i, t in enumerate(c.tiers)))
+
+
+def preferences(own: dict | None, template: str) -> dict:
+    """A user's preferences over the defaults: one template, all tiers, nothing else chosen."""
+    base = {"templates": [template], "journal_tier": "all", "pub_types": [], "extra_keywords": [], "authors": []}
+    return {**base, **{k: v for k, v in (own or {}).items() if v is not None}}

@@ -12,7 +12,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions.forms import ORCID
@@ -85,3 +85,39 @@ def fetch(ids: DataFrame, transport: Transport, column: str = "pmid", batch: int
             yield get(held)
 
     return ids.select(F.col(column).cast("string").alias("id")).mapInArrow(run, "xml string")
+
+
+def harvest(spark: SparkSession, transport: Transport, journals: list[str], days: int, most: int = 500, parts: int = 1, **kw) -> DataFrame:
+    """(xml) of all records that a search of the journals finds: one search, then fetches of its ids in ``parts`` tasks.
+
+    The service's pace holds for all tasks together, so each waits ``parts`` times as long.
+    """
+    pace = kw.pop("pace", 0.35) * max(1, parts)
+    ids = search(transport, union_query(journals), days, most, **kw)
+    if len(ids) >= most:
+        raise ValueError(f"the search has {most} records or more; ask for more, or for fewer days")
+    return fetch(spark.createDataFrame([(i,) for i in ids], "pmid string").repartition(max(1, parts)), transport, pace=pace)
+
+
+class Store:
+    """Tables by name in one folder or catalog: what operators read and replace without knowing where it lies."""
+
+    def __init__(self, spark: SparkSession, at: str) -> None:
+        self.spark, self.at = spark, at
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.at}/{name}") if "/" in self.at else self.spark.table(f"{self.at}.{name}")
+
+    def append(self, name: str, rows: DataFrame) -> None:
+        self._write(name, rows, "append")
+
+    def replace(self, name: str, rows: DataFrame) -> None:
+        """``rows`` must not be read from the table itself."""
+        self._write(name, rows, "overwrite")
+
+    def count(self, name: str) -> int:
+        return self.read(name).count()
+
+    def _write(self, name: str, rows: DataFrame, mode: str) -> None:
+        w = rows.write.mode(mode)
+        w.parquet(f"{self.at}/{name}") if "/" in self.at else w.saveAsTable(f"{self.at}.{name}")
