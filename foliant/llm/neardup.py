@@ -2,37 +2,43 @@
 
 A document's set is its distinct shingles.  Its signature has CHUNKS x WIDTH symbols of
 16 bits, one per hash function.  By pigeonhole, signatures that differ in at most
-CHUNKS * (ERRORS + 1) - 1 symbols (15 of 40) agree in some chunk up to ERRORS of its
+CHUNKS * (ERRORS + 1) - 1 symbols (11 of 24) agree in some chunk up to ERRORS of its
 symbols; leaving every choice of ERRORS symbols of every chunk out enumerates the allowed
 errors, so all such pairs share a key.  At a similarity of 0.8 a pair shares none with a
-probability of 2e-5.  Candidates are confirmed on the full sets.
+probability of 4e-5, at 0.85 of 2e-6.  Candidates are confirmed on the full sets.
 
 Work per bucket of a key is linear in its size first: every member is compared with the
-bucket's most central one, that shares most buckets with others.  What these links leave
-apart is then compared exactly: members outside the largest component of their bucket, with
-such buckets' members in other components.  Pairs within one component can add nothing and
-are never made, and a prefix filter over the sets rules the others out before they are made
-unless they share shingles that are rare among these members: so copies that are too far
-from the rest of their group cost nothing.  Documents with equal sets are one class.
+bucket's most central one, that shares most buckets with others.  Where these links leave a
+bucket in several components, its members outside the largest one are compared with the
+others.  Such pairs are made only if they share a shingle of their sets' prefixes (the
+rarest ones, enough of them that similar sets must share one) and a bucket, and differ in
+component: so pairs that can't be links, or can add nothing, are not enumerated.
+Documents with equal sets are one class.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut, lower_words, small_batches, utf8, word_hash
-from foliant.llm.graph import components
+from foliant.llm.common import few_rows, lower_words, ship, utf8, word_hash
+from foliant.operators.graph import components
+from foliant.tables import Scratch
 
-CHUNKS, WIDTH, ERRORS = 8, 5, 1
+CHUNKS, WIDTH, ERRORS = 6, 4, 1
 SYMBOLS = CHUNKS * WIDTH
-#: A candidate whose signatures differ in more symbols has a similarity of 0.8 with a chance under 1e-9.
-FAR = 27
+#: A candidate whose signatures differ in more symbols has a similarity of 0.8 with a chance under 1e-9 of being missed.
+FAR = 18
+#: Bytes kept of a shingle's hash where sets are compared: two of 20,000 shingles each meet by chance once in a million.
+KEPT = 6
+#: Candidates whose shingles say which are frequent, and how many of those are remembered: they come last in prefixes.
+ASKED, FREQUENT = 20_000, 200_000
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(1 << 62, size=SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(1 << 63, size=SYMBOLS, dtype=np.uint64)
@@ -82,7 +88,7 @@ def chunk_keys(signatures: np.ndarray) -> np.ndarray:
 
 def _describe(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few_rows(batches):
             n, cls, sig = [], [], []
             for t in b.column("_t").to_pylist():
                 s = shingle_set(t, words)
@@ -95,34 +101,70 @@ def _describe(words: int):
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if b.num_rows:
-            keys = chunk_keys(np.frombuffer(b"".join(b.column("_sig").to_pylist()), np.uint16).reshape(b.num_rows, SYMBOLS))
-            reps = np.repeat(np.array(b.column("rep").to_pylist(), np.int64), keys.shape[1])
-            yield pa.record_batch([pa.array(keys.reshape(-1)), pa.array(reps)], ["key", "rep"])
+    for b in few_rows(batches, 4096):
+        keys = chunk_keys(np.frombuffer(b"".join(b.column("_sig").to_pylist()), np.uint16).reshape(b.num_rows, SYMBOLS))
+        yield pa.record_batch([pa.array(keys.reshape(-1)), pa.array(np.repeat(b.column("rep").to_numpy(), keys.shape[1]))], ["key", "rep"])
+
+
+def pack_set(shingles: np.ndarray) -> bytes:
+    """The low KEPT bytes of each shingle, sorted."""
+    low = np.unique(shingles & np.uint64((1 << 8 * KEPT) - 1))
+    return low.view(np.uint8).reshape(-1, 8)[:, :KEPT].tobytes()
+
+
+def unpack_set(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // KEPT, 8), np.uint8)
+    out[:, :KEPT] = np.frombuffer(data, np.uint8).reshape(-1, KEPT)
+    return out.reshape(-1).view(np.int64)
 
 
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.record_batch([b.column("node"), pa.array([shingle_set(t, words).tobytes() for t in b.column("_t").to_pylist()], pa.binary())], ["node", "_set"])
+        for b in few_rows(batches):
+            yield pa.record_batch([b.column("node"), pa.array([pack_set(shingle_set(t, words)) for t in b.column("_t").to_pylist()], pa.binary())], ["node", "_set"])
 
     return run
 
 
-def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for node, data in zip(b.column("node").to_pylist(), b.column("_set").to_pylist(), strict=True):
-            s = np.frombuffer(data, np.int64)
-            yield pa.record_batch([pa.array(s), pa.array(np.full(len(s), node))], ["shingle", "node"])
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in few_rows(batches):
+        s, n = np.unique(np.concatenate([unpack_set(x) for x in b.column("_set").to_pylist()]), return_counts=True)
+        yield pa.record_batch([pa.array(s), pa.array(n)], ["shingle", "n"])
+
+
+def prefix_length(n: int, numerator: int, denominator: int) -> int:
+    """So many of its first shingles, in any one order, hold one of every set that is similar enough."""
+    return n - -(-n * numerator // denominator) + 1
+
+
+def _prefixes(frequent: np.ndarray, rank: np.ndarray, numerator: int, denominator: int):
+    """Rows (shingle, at, node, n, few, c, sig) of the sets' prefixes, frequent shingles last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in few_rows(batches):
+            rows = []
+            for data in b.column("_set").to_pylist():
+                s = unpack_set(data)
+                at = np.minimum(np.searchsorted(frequent, s), max(0, len(frequent) - 1))
+                last = np.where(frequent[at] == s, rank[at], 0) if len(frequent) else np.zeros(len(s), np.int64)
+                rows.append(s[np.lexsort((s, last))[: prefix_length(len(s), numerator, denominator)]])
+            size = np.array([len(x) for x in rows])
+            own = np.repeat(np.arange(len(rows)), size)
+            place = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
+            rest = pa.array(own)
+            yield pa.record_batch(
+                [pa.array(np.concatenate(rows)), pa.array(place.astype(np.int32)), *[b.column(c).take(rest) for c in ("node", "n", "few", "c", "sig")]], ["shingle", "at", "node", "n", "few", "c", "sig"]
+            )
+
+    return run
 
 
 def _confirm(numerator: int, denominator: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few_rows(batches):
             ok = []
             for x, y in zip(b.column("_set_a").to_pylist(), b.column("_set_b").to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                p, q = unpack_set(x), unpack_set(y)
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 ok.append(denominator * both >= numerator * (len(p) + len(q) - both))
             keep = pa.array(ok, pa.bool_())
@@ -132,83 +174,104 @@ def _confirm(numerator: int, denominator: int):
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, n_links for every row of ``docs``.
+    """doc_id, n_shingles, component_id, kept for every row of ``docs``.
 
     Documents are linked when their sets' Jaccard similarity is at least ``similarity``;
     ``component_id`` is the smallest id reachable, ``kept`` marks the row with that id.
-    ``n_links`` counts the confirmed links of the row's class to other classes.  Rows
-    without words, or with null text, are linked with nothing; rows that repeat an id are
-    copies of one another and all kept together.  Other columns are ignored.
+    Rows without words, or with null text, are linked with nothing and kept.  Rows that
+    repeat an id are one document, whatever their texts: it is linked where one of them is,
+    and its rows are kept or not together.  Rows without an id are linked with nothing, have
+    a null component and are kept.  Other columns are ignored.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
+    scratch = Scratch(spark, "neardup")
+    num, den = similarity
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), utf8(docs["text"]).alias("_t"))
-    rows = cut(own.mapInArrow(_describe(words), "doc_id long, n_shingles long, _cls binary, _sig binary"))
-    classes = cut(rows.where("_cls is not null and doc_id is not null").groupBy("_cls").agg(F.min("doc_id").alias("rep"), F.first("_sig").alias("_sig"), F.first("n_shingles").alias("_n")))
-
-    keys = cut(classes.select("rep", "_sig").mapInArrow(_spread, "key long, rep long"))
-    buckets = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1"))
-    sharing = cut(keys.join(buckets, "key"))
-    pull = cut(sharing.groupBy("rep").agg(F.sum("_size").alias("_pull")))
-    pulled = cut(sharing.select("key", "rep").join(pull, "rep"))
-    centres = cut(pulled.groupBy("key").agg(F.max(F.struct("_pull", (-F.col("rep")).alias("_down"))).alias("_top")).select("key", (-F.col("_top._down")).alias("centre")))
-    members = cut(pulled.select("key", "rep").join(centres, "key"))
-    nodes = cut(pull.select(F.col("rep").alias("node")))
+    rows = scratch.keep(own.mapInArrow(_describe(words), "doc_id long, n_shingles long, _cls binary, _sig binary"))
+    sound = rows.where("_cls is not null and doc_id is not null")
+    classes = scratch.keep(sound.groupBy("_cls").agg(F.min("doc_id").alias("rep"), F.first("_sig").alias("_sig"), F.first("n_shingles").alias("_n")))
+
+    # Buckets with more than one member, and each member's.
+    keys = classes.select("rep", "_sig").mapInArrow(_spread, "key long, rep long")
+    buckets = scratch.keep(keys.groupBy("key").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1"))
+    members = scratch.keep(keys.join(buckets, "key").groupBy("rep").agg(F.collect_list("key").alias("_keys"), F.sum("_size").alias("_pull")))
+    scratch.drop(buckets)
+    each = members.select("rep", "_pull", F.explode("_keys").alias("key"))
+    top = F.max(F.struct("_pull", (-F.col("rep")).alias("_down")))["_down"]
+    centres = scratch.keep(each.groupBy("key").agg((-top).alias("centre")))
+    stars = scratch.keep(
+        each.join(centres, "key").where("rep != centre").select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")).distinct()
+    )
+    scratch.drop(centres)
     # Signatures and sets of the candidates only; sets come from the whole texts again.
-    signed = cut(classes.join(nodes, F.col("rep") == F.col("node"), "left_semi").select(F.col("rep").alias("node"), "_sig", "_n"))
-    wanted = own.withColumnRenamed("doc_id", "node").join(nodes, "node", "left_semi").mapInArrow(_sets(words), "node long, _set binary")
-    sets = cut(wanted)
+    nodes = members.select(F.col("rep").alias("node"))
+    signed = scratch.keep(classes.withColumnRenamed("rep", "node").join(nodes, "node", "left_semi").select("node", "_sig", "_n"))
+    # Texts and sets are always joined by shuffle, so that all sizes behave alike.
+    sets = scratch.keep(own.withColumnRenamed("doc_id", "node").join(nodes.hint("merge"), "node", "left_semi").mapInArrow(_sets(words), "node long, _set binary"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose full sets are similar enough; sizes and signatures rule out most others."""
-        num, den = similarity
         side = lambda s: signed.select(F.col("node").alias(s), F.col("_sig").alias(f"_sig_{s}"), F.col("_n").alias(f"_n_{s}"))
-        near = pairs.join(side("a"), "a").join(side("b"), "b").where(
-            (den * F.least("_n_a", "_n_b") >= num * F.greatest("_n_a", "_n_b")) & (_differing("_sig_a", "_sig_b") <= FAR)
-        )
-        near = cut(near.select("a", "b"))
+        close = (den * F.least("_n_a", "_n_b") >= num * F.greatest("_n_a", "_n_b")) & (_unlike(range(SYMBOLS), "_sig_a", "_sig_b") <= FAR)
+        near = scratch.keep(pairs.join(side("a"), "a").join(side("b"), "b").where(close).select("a", "b"))
         full = lambda s: sets.select(F.col("node").alias(s), F.col("_set").alias(f"_set_{s}"))
-        return cut(near.join(full("a"), "a").join(full("b"), "b").mapInArrow(_confirm(num, den), "a long, b long").distinct())
+        found = scratch.keep(near.join(full("b").hint("merge"), "b").join(full("a").hint("merge"), "a").mapInArrow(_confirm(num, den), "a long, b long").distinct())
+        scratch.drop(near)
+        return found
 
-    pair = (F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b"))
-    stars = cut(members.where("rep != centre").select(*pair).distinct())
     links = confirmed(stars)
-    found = components(links)
-    placed = cut(members.join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("_c")))
-    sizes = placed.groupBy("key", "_c").agg(F.count(F.lit(1)).alias("_m"))
-    split = cut(sizes.groupBy("key").agg(F.count(F.lit(1)).alias("_parts"), F.max(F.struct("_m", "_c")).alias("_top")).where("_parts > 1").select("key", F.col("_top._c").alias("_main")))
-    mixed = cut(placed.join(split, "key"))
-    # Prefix filter: with shingles in order of rarity, the first one that two sets share bounds
-    # what they can still share from its positions on.
-    num, den = similarity
-    apart = cut(mixed.groupBy(F.col("rep").alias("node")).agg(F.first("_c").alias("_c"), F.max(F.col("_c") != F.col("_main")).alias("_few")))
-    said = cut(sets.join(apart.select("node"), "node", "left_semi").mapInArrow(_shingles, "shingle long, node long"))
-    rarity = cut(said.groupBy("shingle").agg(F.count(F.lit(1)).alias("_df")))
-    ordered = said.join(rarity, "shingle").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("_df", "shingle"))).alias("_all"))
-    length = F.size("_all") - F.ceil(F.size("_all") * num / den).cast("int") + 1
-    prefix = ordered.select("node", F.size("_all").alias("_n"), F.posexplode(F.slice("_all", F.lit(1), length)).alias("_i", "_x")).select("node", "_n", "_i", F.col("_x.shingle").alias("shingle"))
-    prefix = cut(prefix.join(apart, "node"))
-    few = cut(prefix.where("_few").select("shingle", *[F.col(c).alias(f"{c}_few") for c in ("node", "_n", "_i", "_c")]))
-    rest = F.least(F.col("_n") - F.col("_i"), F.col("_n_few") - F.col("_i_few"))
-    cross = (
-        few.join(prefix, (few["shingle"] == prefix["shingle"]) & (F.col("_c_few") != F.col("_c")) & (den * rest >= num * (F.col("_n") + F.col("_n_few") - rest)))
-        .select(F.least("node_few", "node").alias("a"), F.greatest("node_few", "node").alias("b")).distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
-    links = cut(links.unionAll(confirmed(cut(cross))))
-    found = cut(components(links).withColumnRenamed("node", "rep"))
-    degree = links.select(F.col("a").alias("rep")).unionAll(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("_links"))
-    labelled = cut(classes.select("_cls", "rep").join(found, "rep", "left").join(degree, "rep", "left").select("_cls", F.coalesce("component", "rep").alias("_component"), F.coalesce("_links", F.lit(0)).alias("_links")))
-    return (
-        rows.join(labelled, "_cls", "left")
-        .select("doc_id", "n_shingles", F.coalesce("_component", "doc_id").alias("component_id"), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"))
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
-    )
-
-
-def _differing(x: str, y: str):
-    """Symbols (two bytes each) in which two signatures differ."""
-    symbol = lambda c, i: F.substring(F.col(c), 2 * i + 1, 2)
-    total = F.lit(0)
-    for i in range(SYMBOLS):
-        total = total + (symbol(x, i) != symbol(y, i)).cast("int")
-    return total
+    scratch.drop(stars)
+    found = components(links, scratch)
+    scratch.drop(links)
+
+    # Members of buckets in several components; ``few`` are outside their bucket's largest one.
+    label = scratch.keep(members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "_keys", F.coalesce("component", "rep").alias("c")))
+    scratch.drop(members)
+    placed = label.select("rep", "c", F.explode("_keys").alias("key"))
+    sizes = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("_m"))
+    mixed = scratch.keep(sizes.groupBy("key").agg(F.count(F.lit(1)).alias("_parts"), F.max(F.struct("_m", "c"))["c"].alias("main")).where("_parts > 1").select("key", "main"))
+    apart = scratch.keep(placed.join(mixed, "key").groupBy("rep").agg(F.first("c").alias("c"), F.max(F.col("c") != F.col("main")).alias("few")).withColumnRenamed("rep", "node"))
+    scratch.drop(label, mixed)
+    signs = apart.join(signed.select("node", F.col("_sig").alias("sig")), "node")
+    chosen = scratch.keep(sets.join(signs.hint("merge"), "node").select("node", "_set", "c", "few", "sig", (F.octet_length("_set") / KEPT).cast("int").alias("n")))
+    # Which shingles are frequent only orders prefixes; any order finds the same links.
+    few_nodes = chosen.select("node").orderBy(F.xxhash64("node"), "node").limit(ASKED).distinct()
+    told = chosen.join(F.broadcast(few_nodes), "node").select("_set").mapInArrow(_asked, "shingle long, k long").groupBy("shingle").agg(F.sum("k").alias("k"))
+    told = sorted((r["shingle"], r["k"]) for r in told.where("k > 2").orderBy(F.col("k").desc(), "shingle").limit(FREQUENT).collect())
+    frequent, rank = np.array([s for s, _ in told], np.int64), np.array([k for _, k in told], np.int64)
+    prefix = scratch.keep(chosen.mapInArrow(_prefixes(frequent, rank, num, den), "shingle long, at int, node long, n int, few boolean, c long, sig binary"))
+    scratch.drop(chosen, apart)
+    x, y = prefix.where("few").alias("x"), prefix.alias("y")
+    rest = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    meet = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.c") != F.col("y.c")) & (den * rest >= num * (F.col("x.n") + F.col("y.n") - rest))
+    meet = meet & _share_bucket("x.sig", "y.sig") & (_unlike(range(SYMBOLS), "x.sig", "y.sig") <= FAR)
+    cross = scratch.keep(x.join(y, meet).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
+    scratch.drop(prefix)
+    more = confirmed(cross)
+    scratch.drop(cross, sets, signed)
+
+    # Components of components; rows that repeat an id with another text join theirs.
+    placed = scratch.keep(classes.select("_cls", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("_cls", "rep", F.coalesce("component", "rep").alias("c")))
+    scratch.drop(found)
+    of = lambda c, n: placed.select(F.col("rep").alias(c), F.col("c").alias(n)).distinct()
+    again = sound.select("doc_id", "_cls").distinct().join(placed, "_cls").select("doc_id", "c")
+    firsts = again.groupBy("doc_id").agg(F.min("c").alias("x"), F.max("c").alias("_z")).where("x < _z").drop("_z")
+    joins = more.join(of("a", "x"), "a").join(of("b", "y"), "b").select("x", "y").unionAll(again.join(firsts, "doc_id").select("x", F.col("c").alias("y")))
+    joins = scratch.keep(joins.where("x != y").distinct())
+    merged = components(joins, scratch, "x", "y")
+    done = scratch.keep(placed.join(merged.withColumnRenamed("node", "c"), "c", "left").select("_cls", F.coalesce("component", "c").alias("_component")))
+    scratch.leave(rows, done)
+    out = rows.join(done, "_cls", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id")).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _unlike(symbols: range, x: str, y: str) -> Column:
+    """In how many of some symbols (two bytes each) two signatures differ."""
+    return F.expr(" + ".join(f"int(substring({x}, {2 * i + 1}, 2) != substring({y}, {2 * i + 1}, 2))" for i in symbols))
+
+
+def _share_bucket(x: str, y: str) -> Column:
+    """Whether some chunk differs in ERRORS symbols at most."""
+    chunks = [_unlike(range(c * WIDTH, (c + 1) * WIDTH), x, y) <= ERRORS for c in range(CHUNKS)]
+    return reduce(lambda a, b: a | b, chunks)
