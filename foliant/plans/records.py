@@ -11,7 +11,7 @@ from foliant.operators import profile as pf
 from foliant.operators import resolve as rs
 from foliant.operators import select as sl
 from foliant.operators import state as st
-from foliant.plans.bindings import _TAG, _WORDS, CANDIDATES, CONFIG, ITEMS, PAPER, TYPES, _any_sql, _hit_sql, chosen_flagged, events, papers, query, table
+from foliant.plans.bindings import _INST, _TAG, _WORDS, CANDIDATES, CONFIG, ITEMS, PAPER, TYPES, _any_sql, _hit_sql, author_records, chosen_flagged, counts, events, papers, query, table
 from foliant.plans.config import Config, Terms
 
 TITLES = (
@@ -167,8 +167,6 @@ def record_vectors(spark, sf_dir):
 
 @query(f"WITH {_WORDS}, live AS (SELECT term, CAST(sum(n) AS DOUBLE) AS w FROM c JOIN labels USING (doc_id) WHERE quality = 1 GROUP BY 1), gold AS (SELECT term, CAST(2 * sum(n) AS DOUBLE) AS w FROM c JOIN labels USING (doc_id) WHERE toxic = 1 GROUP BY 1) SELECT term, sum(w) AS weight FROM (SELECT * FROM live UNION ALL SELECT * FROM gold) GROUP BY 1")
 def profile_floor(spark, sf_dir):
-    from foliant.plans.bindings import counts
-
     v = counts(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
     of = lambda where, k: v.where(where).groupBy(F.lit(0).alias("user_id"), F.lit("positive").alias("polarity"), "term").agg((F.sum("n") * k).cast("double").alias("weight"))
     return pf.with_floor(of("quality = 1", 1), of("toxic = 1", 2)).select("term", "weight")
@@ -191,12 +189,13 @@ def profile_store(spark, sf_dir):
     return st.load_profile(stored, c).select("user_id", "term")
 
 
-@query(f"SELECT user_id, {ITEMS} AS item, {_TAG} AS tag, ts AS at FROM events")
+@query(f"SELECT user_id, {ITEMS} AS item, {_TAG} AS tag FROM events")
 def feedback_log(spark, sf_dir):
     """A log of all events, appended in two parts and read in order of time."""
     tag = F.when(F.col("event_id") % 3 == 0, "star").when(F.col("event_id") % 3 == 1, "tilde").otherwise("skip")
     e = events(spark, sf_dir).select("user_id", "item", tag.alias("tag"), F.col("ts").alias("at"), "event_id")
-    return st.load_feedback(st.add_feedback(e.where("event_id % 2 = 0").drop("event_id"), e.where("event_id % 2 = 1")))
+    log = st.add_feedback(e.where("event_id % 2 = 0").drop("event_id"), e.where("event_id % 2 = 1"))
+    return st.load_feedback(log).select("user_id", "item", "tag")
 
 
 @query("SELECT c_custkey AS id, CASE WHEN c_nationkey % 3 = 0 AND o > 0 THEN o END AS verified_at FROM (SELECT c_custkey, c_nationkey, (SELECT min(o_orderkey) FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 2 = 0) AS o, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 7 = 0) AS gone FROM customer) WHERE gone = 0 OR c_nationkey % 3 > 0")
@@ -254,3 +253,23 @@ def same_institutions(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.lower("p_name").alias("a"))
     pairs = p.join(p.select((F.col("k") - 1).alias("k"), F.col("a").alias("b")), "k")
     return pairs.select("k", rs.same_institution(F.col("a"), F.col("b")).alias("same"))
+
+
+_RECORDS = (
+    "li AS (SELECT l_orderkey AS id, list_distinct(list(l_suppkey::VARCHAR)) AS co, min(l_suppkey) AS s_suppkey FROM lineitem GROUP BY 1),"
+    " r AS (SELECT id, co, CASE WHEN id % 3 = 0 THEN 'j' WHEN s_suppkey % 2 = 0 THEN 'jane' ELSE 'john' END AS f, CASE WHEN id % 11 = 0 THEN lpad(s_suppkey::VARCHAR, 4, '0') ELSE '' END AS orcid,"
+    f" 'j' || id % 4 AS journal, {_INST} AS inst FROM li JOIN supplier USING (s_suppkey) JOIN nation ON s_nationkey = n_nationkey),"
+    " p AS (SELECT x.id AS a_id, y.id AS b_id, x.inst AS a, y.inst AS b, x.f AS fa, y.f AS fb, x.orcid AS oa, y.orcid AS ob, x.journal = y.journal AS journal,"
+    " len(list_intersect(x.co, y.co))::DOUBLE / least(len(x.co), len(y.co)) AS overlap, len(x.f) = 1 OR len(y.f) = 1 AS one FROM r x JOIN r y ON y.id > x.id AND y.id - x.id <= 8),"
+    f" q AS (SELECT *, {_SAME} AS inst, NOT one AND fa = fb AS fore, NOT ((oa <> '' AND ob <> '' AND oa <> ob) OR (NOT one AND fa <> fb) OR (one AND fa[1] <> fb[1])) AS compatible FROM p),"
+    " s AS (SELECT *, 0.62 * least(1, 2 * overlap) + 0.22 * inst::INT + 0.11 * fore::INT + 0.05 * journal::INT AS s FROM q)"
+)
+
+
+@query(f"WITH {_RECORDS} SELECT a_id, b_id, compatible, round(CASE WHEN NOT compatible THEN 0 WHEN oa <> '' AND oa = ob THEN 1 ELSE least(1, CASE WHEN fore AND inst THEN greatest(s, 0.85) ELSE s END) END::DOUBLE, 9) AS similarity FROM s")
+def record_similarity(spark, sf_dir):
+    """Similarity of author records whose orders lie within eight of each other."""
+    r = rs.prepared(author_records(spark, sf_dir)).select("id", F.struct("fore", "orcid", "inst", "journal", "co").alias("s"))
+    near = r.select(F.col("id").alias("b_id"), F.col("s").alias("b"), F.explode(F.sequence(F.col("id") - 8, F.col("id") - 1)).alias("a_id"))
+    pairs = near.join(r.select(F.col("id").alias("a_id"), F.col("s").alias("a")), "a_id")
+    return pairs.select("a_id", "b_id", rs.compatible().alias("compatible"), F.round(rs.similarity(), 9).alias("similarity"))
