@@ -318,7 +318,7 @@ def _evaluate(deal: Deal, model: Model):
         to = deal.history(hh)
         for t in np.unique(to):
             s = to == t
-            put("hist", int(t), 0, dump(hh[s], mass[s], *np.ascontiguousarray(tally[s].T)))
+            put("hist", int(t), 0, dump(hh[s], mass[s], *map(narrow, np.ascontiguousarray(tally[s].T))))
         return pa.table({"kind": pa.array(kind, pa.string()), "bucket": pa.array(bucket, pa.int64()), "block": pa.array(block, pa.int64()), "data": pa.array(data, pa.binary())})
 
     return run
@@ -329,6 +329,11 @@ def backoff(left: np.ndarray, mass: np.ndarray) -> np.ndarray:
     return left / np.maximum(1 - mass, 1e-12)
 
 
+def narrow(n: np.ndarray) -> np.ndarray:
+    """Counts in one byte each where all fit."""
+    return n.astype(np.uint8) if not len(n) or n.max() < 256 else n
+
+
 def given_up(tally: list[np.ndarray], d: np.ndarray) -> np.ndarray:
     """Sum of c - d(c) c over bigrams, of which there are ``tally`` of count 1 to K and more."""
     return sum(n * (r * (1 - d[r]) if r <= K else TRUST) for r, n in enumerate(tally, 1))
