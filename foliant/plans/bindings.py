@@ -198,9 +198,12 @@ def _words_sql(column: str) -> str:
 _WORDS = f"w AS (SELECT doc_id, {_words_sql('text')} AS ws FROM documents), g AS (SELECT doc_id, unnest(ws) AS term FROM w UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM w), c AS (SELECT doc_id, term, count(*) AS n FROM g GROUP BY ALL)"
 
 
+def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pf.vectors(table(spark, sf_dir, "documents").select("doc_id", F.lit("").alias("title"), F.col("text").alias("abstract")), "doc_id")
+
+
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pf.term_counts(d.select("doc_id", F.lit("").alias("title"), F.col("text").alias("abstract")), "doc_id")
+    return pf.unfolded(document_vectors(spark, sf_dir), "doc_id")
 
 
 @query(f"WITH {_WORDS} SELECT doc_id, count(*) AS n_terms, CAST(sum(n) AS BIGINT) AS n_total, max(n) AS most FROM c GROUP BY doc_id")
@@ -217,10 +220,11 @@ def tagged_matches(spark: SparkSession, sf_dir: str, polarities: tuple[str, ...]
     scratch = Scratch(spark, "profile")
     polarity = F.when(F.col("quality") == 0, "negative").when(F.col("toxic") == 0, "positive")
     tags = table(spark, sf_dir, "labels").select("doc_id", polarity.alias("polarity")).where(F.col("polarity").isin(*polarities))
-    own = counts(spark, sf_dir).join(tags, "doc_id").groupBy(F.lit(0).cast("long").alias("user_id"), "polarity", "term")
+    v = scratch.keep(document_vectors(spark, sf_dir))
+    own = pf.unfolded(v, "doc_id").join(tags, "doc_id").groupBy(F.lit(0).cast("long").alias("user_id"), "polarity", "term")
     profile = scratch.keep(own.agg(F.sum("n").alias("weight")))
-    scratch.leave(profile)
-    return pf.matches(counts(spark, sf_dir), profile, "doc_id", small=profile.count() <= pf.BROADCAST_TERMS)
+    scratch.leave(v, profile)
+    return pf.matches(v, profile, "doc_id", small=profile.count() <= pf.BROADCAST_TERMS)
 
 
 @query(_PROFILE + " SELECT doc_id, round(cosine, 9) AS cosine FROM " + _COS.format("liked"))
