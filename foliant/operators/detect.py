@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.text import haystack, heading_hits, heading_or_text_hits, sample_size, term_hits
-from foliant.plans.config import Config
+from foliant.functions.text import descriptor_text, haystack, heading_hits, sample_size, term_hits
+from foliant.operators.terms import TermSet, among
+from foliant.plans.config import Config, Terms
 
 #: The term lists behind the rules.
 PEDIATRIC_HEADINGS = [
@@ -47,10 +48,26 @@ SIGNALS = (
 )
 
 
+def _headed(headings: str, hits: str, descriptors: list[str]) -> Column:
+    """Descriptors among the headings, or said in the text, whose terms are in ``hits``."""
+    if not descriptors:
+        return F.array().cast("array<string>")
+    table = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(d.lower()).alias("low"), F.lit(descriptor_text(d)).alias("said")) for d in descriptors])
+    return F.transform(F.filter(table, lambda e: F.array_contains(headings, e["low"]) | F.array_contains(hits, e["said"])), lambda e: e["d"])
+
+
+def _terms(config: Config) -> list[str]:
+    """What is looked for in the text: the rules' terms, a config's topics and gate, and how their headings read."""
+    own = [Terms(tuple(PEDIATRIC_HEADINGS), tuple(PEDIATRIC)), config.gate, *config.topics.values()]
+    said = [t for x in own for t in (*map(descriptor_text, x.headings), *x.text)]
+    return [*said, *config.societies, *GUIDELINE, *COVID, *SURGICAL, *OUTCOMES, *IMPLICATIONS]
+
+
 def detect(records: DataFrame, config: Config) -> DataFrame:
     """Adds ``signals`` (struct of booleans and sample_size) and ``matched`` (map of rule to terms).
 
     Expects title, abstract, mesh, pub_types and authors[].affiliation; null lists are empty.
+    All terms of the rules and of the config are found in one pass over a text's tokens.
     """
     none = F.array().cast("array<string>")
     df = records.withColumns({
@@ -59,18 +76,21 @@ def detect(records: DataFrame, config: Config) -> DataFrame:
         "_mesh": F.transform(F.coalesce("mesh", none), F.lower),
         "_place": F.lower(F.array_join(F.transform(F.col("authors"), lambda a: F.coalesce(a["affiliation"], F.lit(""))), " ")),
     })
-    text, title, mesh = F.col("_text"), F.col("_title"), F.col("_mesh")
-    either = lambda t: F.concat(heading_or_text_hits(mesh, text, list(t.headings)), term_hits(text, list(t.text)))
+    df = TermSet(tuple(_terms(config))).find(df, "_text", "_in_text")
+    df = TermSet((*COVID, *EPIDEMIOLOGY, *PROTOCOL)).find(df, "_title", "_in_title")
+    df = TermSet(tuple(config.societies)).find(df, "_place", "_in_place")
+    in_text, in_title = lambda t: among("_in_text", t), lambda t: among("_in_title", t)
+    either = lambda t: F.concat(_headed("_mesh", "_in_text", list(t.headings)), in_text(list(t.text)))
     topic = lambda k: either(config.topics[k]) if k in config.topics else none
     df = df.withColumns({
-        "pediatric": F.concat(heading_or_text_hits(mesh, text, PEDIATRIC_HEADINGS), term_hits(text, PEDIATRIC)),
+        "pediatric": either(Terms(tuple(PEDIATRIC_HEADINGS), tuple(PEDIATRIC))),
         "ecmo": topic("ecmo"), "ventilation": topic("ventilation"),
-        "society": F.concat(term_hits(text, list(config.societies)), F.coalesce(term_hits(F.col("_place"), list(config.societies)), none), term_hits(text, GUIDELINE)),
+        "society": F.concat(in_text(list(config.societies)), among("_in_place", list(config.societies)), in_text(GUIDELINE)),
         "informatics": topic("informatics"), "hemodynamic": topic("hemodynamic"), "impedance": topic("impedance"),
         "cc_relevance": either(config.gate),
-        "_covid": F.concat(heading_hits(mesh, COVID_HEADINGS), term_hits(text, COVID)), "_covid_title": term_hits(title, COVID),
-        "_surgical": term_hits(text, SURGICAL), "_outcome": term_hits(text, OUTCOMES), "_epi": term_hits(title, EPIDEMIOLOGY), "_implied": term_hits(text, IMPLICATIONS),
-        "protocol": F.concat(term_hits(title, PROTOCOL), F.when(F.array_contains("pub_types", "Clinical Trial Protocol"), F.array(F.lit("pt:Clinical Trial Protocol"))).otherwise(none)),
+        "_covid": F.concat(heading_hits(F.col("_mesh"), COVID_HEADINGS), in_text(COVID)), "_covid_title": in_title(COVID),
+        "_surgical": in_text(SURGICAL), "_outcome": in_text(OUTCOMES), "_epi": in_title(EPIDEMIOLOGY), "_implied": in_text(IMPLICATIONS),
+        "protocol": F.concat(in_title(PROTOCOL), F.when(F.array_contains("pub_types", "Clinical Trial Protocol"), F.array(F.lit("pt:Clinical Trial Protocol"))).otherwise(none)),
     })
     some = lambda c: F.size(c) > 0
     only = lambda keep, c: F.when(keep, F.col(c)).otherwise(none)
