@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foliant.functions.text import descriptor_text, haystack, heading_hits, sample_size, term_hits
 from foliant.operators.terms import TermSet, among
 from foliant.plans.config import Config, Terms
+from foliant.tables import settled
 
 #: The term lists behind the rules.
 PEDIATRIC_HEADINGS = [
@@ -79,6 +80,7 @@ def detect(records: DataFrame, config: Config) -> DataFrame:
     df = TermSet(tuple(_terms(config))).find(df, "_text", "_in_text")
     df = TermSet((*COVID, *EPIDEMIOLOGY, *PROTOCOL)).find(df, "_title", "_in_title")
     df = TermSet(tuple(config.societies)).find(df, "_place", "_in_place")
+    df = settled(df, "_in_text", "_in_title", "_in_place")
     in_text, in_title = lambda t: among("_in_text", t), lambda t: among("_in_title", t)
     either = lambda t: F.concat(_headed("_mesh", "_in_text", list(t.headings)), in_text(list(t.text)))
     topic = lambda k: either(config.topics[k]) if k in config.topics else none
@@ -101,7 +103,7 @@ def detect(records: DataFrame, config: Config) -> DataFrame:
     })
     matched = F.map_filter(F.create_map(*[x for s in SIGNALS for x in (F.lit(s), F.col(s))]), lambda _, v: F.size(v) > 0)
     signals = F.struct(*[some(s).alias(s) for s in SIGNALS], sample_size(F.col("title"), F.col("abstract")).alias("sample_size"))
-    return df.select(*records.columns, signals.alias("signals"), matched.alias("matched"))
+    return settled(df.select(*records.columns, signals.alias("signals"), matched.alias("matched")), "signals", "matched")
 
 
 def keyword_hits(keywords: list[str]) -> Column:

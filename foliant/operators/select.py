@@ -35,30 +35,45 @@ def with_tier(records: DataFrame, tiers: DataFrame, journal: str = "journal") ->
     return keyed.join(F.broadcast(tiers), "journal_key", "left").drop("journal_key")
 
 
-def verdicts(df: DataFrame, config: Config) -> DataFrame:
-    """Adds ``rule`` (first rule that rejects, null for kept) and ``detail``.  Needs tier, signals and matched."""
+def _verdict_rules(hard: Column, soft: Column, general: Column) -> list[tuple[str, Column, Column]]:
+    """(rule, condition, detail) in order; lists of types and journals are array columns."""
     s = lambda n: F.col("signals")[n]
     said = lambda n: F.array_join(F.coalesce(F.col("matched")[n], F.array().cast("array<string>")), ", ")
-    shared = lambda types: F.array_join(F.filter("pub_types", lambda t: t.isin(*types) if types else F.lit(False)), ", ")
+    has = lambda types: F.coalesce(F.arrays_overlap("pub_types", types), F.lit(False))
+    shared = lambda types: F.array_join(F.filter("pub_types", lambda t: F.array_contains(types, t)), ", ")
     top = F.coalesce(F.col("tier").isin(1, 2), F.lit(False))
     letter = has_type(("Editorial", "Letter"))
     no_evidence = F.lit("no CC relevance evidence")
     language = F.coalesce("language", F.array().cast("array<string>"))
-    rules = [
-        ("hard_pt_exclude", has_type(config.hard_types), shared(config.hard_types)),
+    return [
+        ("hard_pt_exclude", has(hard), shared(hard)),
         ("language", (F.size(language) > 0) & ~F.array_contains(language, "eng"), F.array_join(language, ",")),
         ("suppress_covid_only", s("covid_only") & ~has_type(GUIDELINES) & ~F.lower("journal").contains("cochrane"), said("covid_only")),
         ("suppress_surgical_technique", s("surgical_technique"), said("surgical_technique")),
         ("suppress_epi_only", s("epi_only"), said("epi_only")),
         ("protocol", s("protocol"), said("protocol")),
-        ("soft_exclude_non_tier12", has_type(config.soft_types) & ~top, shared(config.soft_types)),
+        ("soft_exclude_non_tier12", has(soft) & ~top, shared(soft)),
         ("editorial_letter_non_tier12", letter & ~top, F.array_join("pub_types", ", ")),
         ("editorial_letter_failed_cc_gate", letter & ~s("cc_relevance"), no_evidence),
-        ("cc_relevance_gate", ((F.col("tier") == 3) | F.col("journal").isin(*config.general_scope)) & ~s("cc_relevance"), F.concat("journal", F.lit(": "), no_evidence)),
+        ("cc_relevance_gate", ((F.col("tier") == 3) | F.array_contains(general, F.col("journal"))) & ~s("cc_relevance"), F.concat("journal", F.lit(": "), no_evidence)),
         ("journal_not_in_whitelist", F.col("tier").isNull(), F.col("journal")),
     ]
-    first = lambda pick: reduce(lambda c, r: c.when(F.coalesce(r[1], F.lit(False)), pick(r)), rules[1:], F.when(F.coalesce(rules[0][1], F.lit(False)), pick(rules[0])))
-    return df.withColumns({"rule": first(lambda r: F.lit(r[0])), "detail": first(lambda r: r[2])})
+
+
+def _first(rules: list[tuple[str, Column, Column]], pick) -> Column:
+    met = lambda r: F.coalesce(r[1], F.lit(False))
+    return reduce(lambda c, r: c.when(met(r), pick(r)), rules[1:], F.when(met(rules[0]), pick(rules[0])))
+
+
+def first_rule(hard: Column, soft: Column, general: Column) -> Column:
+    """Name of the first rule that rejects, null for kept.  Needs tier and signals."""
+    return _first(_verdict_rules(hard, soft, general), lambda r: F.lit(r[0]))
+
+
+def verdicts(df: DataFrame, config: Config) -> DataFrame:
+    """Adds ``rule`` (first rule that rejects, null for kept) and ``detail``.  Needs tier, signals and matched."""
+    rules = _verdict_rules(*[F.array(*map(F.lit, x)).cast("array<string>") for x in (config.hard_types, config.soft_types, config.general_scope)])
+    return df.withColumns({"rule": _first(rules, lambda r: F.lit(r[0])), "detail": _first(rules, lambda r: r[2])})
 
 
 def drop_counts(df: DataFrame) -> DataFrame:
@@ -146,33 +161,36 @@ def candidate_order(score: str = "score", item: str = "item") -> list[Column]:
     return [F.col(score).desc(), F.col(item).asc()]
 
 
-def digest_rows(scored: DataFrame, hard_cap: int = 25, per_section: int = 5, non_primary: int = 4, most: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+def digest_rows(scored: DataFrame, hard_cap: int | str = 25, per_section: int | str = 5, non_primary: int | str = 4, most: int | str = 3, carry: tuple[str, ...] = ()) -> DataFrame:
     """(user_id, item, section, non_primary, score, *carry, chosen, rank) of chosen rows and the best others.
 
     Chosen is what walking down the scores takes under all caps; ``rank`` numbers a user's
-    first ``most`` rows that were not chosen, null for chosen ones.  Rows that would meet a
+    first ``most`` rows that were not chosen, null for chosen ones.  Caps are numbers, or
+    names of columns that are the same in all rows of a user.  Rows that would meet a
     full section or a full class whatever came before are pruned by ranks first, but for the
     first hard_cap + most by score, among which the best others lie; so a user's fold, an
     array aggregation in the JVM, sees a few rows a section.
     """
+    caps = {f"_cap{i}": F.col(c) if isinstance(c, str) else F.lit(c) for i, c in enumerate((hard_cap, per_section, non_primary, most))}
+    hard_cap, per_section, letters_cap, most = map(F.col, caps)
     lane = W.partitionBy("user_id", "section", "non_primary").orderBy(*candidate_order())
     whole = W.partitionBy("user_id").orderBy(*candidate_order())
-    limit = F.when(F.col("non_primary"), min(per_section, non_primary)).otherwise(per_section)
-    ranked = scored.withColumns({"_r": F.row_number().over(lane), "_w": F.row_number().over(whole)})
+    ranked = scored.withColumns({**caps, "_r": F.row_number().over(lane), "_w": F.row_number().over(whole)})
+    limit = F.when(F.col("non_primary"), F.least(per_section, letters_cap)).otherwise(per_section)
     few = ranked.where((F.col("_r") <= limit) | (F.col("_w") <= hard_cap + most))
     entry = F.struct((-F.col("score")).alias("down"), F.col("item"), F.col("section"), F.col("non_primary"), F.col("score"), (F.col("_w") <= hard_cap + most).alias("head"), *[F.col(c) for c in carry])
-    lists = few.groupBy("user_id").agg(F.sort_array(F.collect_list(entry)).alias("_all"))
+    lists = few.groupBy("user_id", *caps).agg(F.sort_array(F.collect_list(entry)).alias("_all"))
     kind = lists.schema["_all"].dataType
 
     def take(got: Column, x: Column) -> Column:
         here = F.size(F.filter(got, lambda y: y["section"] == x["section"]))
         letters = F.size(F.filter(got, lambda y: y["non_primary"]))
-        fits = (F.size(got) < hard_cap) & (here < per_section) & (~x["non_primary"] | (letters < non_primary))
+        fits = (F.size(got) < hard_cap) & (here < per_section) & (~x["non_primary"] | (letters < letters_cap))
         return F.when(fits, F.concat(got, F.array(x))).otherwise(got)
 
-    folded = lists.select("user_id", "_all", F.aggregate("_all", F.array().cast(kind), take).alias("_got"))
+    folded = lists.select("user_id", *caps, "_all", F.aggregate("_all", F.array().cast(kind), take).alias("_got"))
     taken = F.transform("_got", lambda y: y["item"])
-    others = F.slice(F.filter("_all", lambda y: y["head"] & ~F.array_contains(taken, y["item"])), 1, most)
+    others = F.slice(F.filter("_all", lambda y: y["head"] & ~F.array_contains(taken, y["item"])), F.lit(1), most)
     rows = F.concat(
         F.transform("_got", lambda y: F.struct(y.alias("x"), F.lit(None).cast("int").alias("rank"))), F.transform(others, lambda y, i: F.struct(y.alias("x"), (i + 1).cast("int").alias("rank")))
     )

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -39,6 +40,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if int(str(size)) < SMALL_INPUT and len(df.inputFiles()) < cores else df
 
 
+def settled(df: DataFrame, *columns: str) -> DataFrame:
+    """The same rows, with ``columns`` made before anything that stands above reads them.
+
+    The optimizer puts what makes a column into a filter on it, and into the lambdas that read
+    it, where it runs again for each element; through a generator of one row it does neither.
+    """
+    return df.select(*[c for c in df.columns if c not in columns], F.inline_outer(F.array(F.struct(*columns)))).select(*df.columns)
+
+
 @contextmanager
 def one_use_shuffles(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of the queries run inside go as soon as those end, not with the driver's garbage."""
