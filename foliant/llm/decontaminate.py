@@ -43,8 +43,13 @@ class Automaton:
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int = 13) -> None:
         self.window = window
-        self.names = [name for name, words in items if words]
-        texts = [words for _, words in items if words]
+        # Items with equal words are one class: they cost as one.
+        classes: dict[tuple[bytes, ...], set[str]] = {}
+        for name, words in items:
+            if words:
+                classes.setdefault(tuple(words), set()).add(name)
+        self.names = list(classes.values())
+        texts = list(classes)
         self.vocabulary: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
@@ -104,8 +109,9 @@ class Automaton:
         return state
 
     def follow(self, ids: list[int], hit: np.ndarray, at: int, found: set[int]) -> None:
-        """Marks in ``hit`` (from ``at``) the words of windows among ``ids``; adds items to ``found``."""
+        """Marks in ``hit`` (from ``at``) the words of windows among ``ids``; adds classes of items to ``found``."""
         state = matched = 0
+        met: set[int] = set()
         for i, c in enumerate(ids):
             while state and c not in self.next[state]:
                 state = self.link[state]
@@ -116,12 +122,15 @@ class Automaton:
                 v = state
                 while self.length[self.link[v]] >= self.window:
                     v = self.link[v]
-                found |= self.items.get(v, frozenset())
+                met.add(v)
                 hit[at + i + 1 - self.window : at + i + 1] = True
+            # Whole short items that end here have different lengths: fewer than a window has words.
             for n, k in self.whole[state]:
                 if n <= matched:
                     found.add(k)
                     hit[at + i + 1 - n : at + i + 1] = True
+        for v in met:
+            found |= self.items.get(v, frozenset())
 
     def scan(self, words: list[bytes]) -> tuple[np.ndarray | None, set[str]]:
         """Which words are hit (None: no word), and the names of the items with occurring windows."""
@@ -134,22 +143,27 @@ class Automaton:
         hit, found = np.zeros(len(words), bool), set()
         for k in np.flatnonzero(stops - starts >= self.shortest):
             self.follow(ids[starts[k] : stops[k]].tolist(), hit, int(starts[k]), found)
-        return (hit, {self.names[k] for k in found}) if found else (None, set())
+        return (hit, set().union(*[self.names[k] for k in found])) if found else (None, set())
 
 
 def automata(benchmark: DataFrame, window: int = 13, block_words: int = BLOCK_WORDS) -> Iterator[Automaton]:
+    """Automata of blocks of the benchmark; items with equal words lie in one block, where they count as one and a word each for their names."""
     block, size = [], 0
     rows = benchmark.select(benchmark["item_id"].cast("string").alias("i"), utf8(benchmark["text"]).alias("t")).where("i is not null").distinct()
+    words = F.trim(F.regexp_replace(F.lower(F.col("t").cast("string")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
     step = max(block_words, window) - window + 1
-    for r in rows.toLocalIterator():
-        words = item_words(bytes(r["t"]))
-        for lo in range(0, max(1, len(words) - window + 1), step):
-            part = words[lo : lo + step + window - 1]
-            if size and size + len(part) > block_words:
+    last: list[bytes] = []
+    for r in rows.withColumn("_k", F.xxhash64(words)).orderBy("_k", "i").drop("_k").toLocalIterator():
+        own = item_words(bytes(r["t"]))
+        again, last = own == last, own
+        for lo in range(0, max(1, len(own) - window + 1), step):
+            part = own[lo : lo + step + window - 1]
+            cost = 1 if again else len(part)
+            if size and size + cost > block_words:
                 yield Automaton(block, window)
-                block, size = [], 0
+                block, size, cost = [], 0, len(part)
             block.append((r["i"], part))
-            size += len(part)
+            size += cost
     if block:
         yield Automaton(block, window)
 
@@ -177,7 +191,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     Its fields: n_words, n_hit, n_items, items_sha256, contaminated (some word is hit and
     the hit words' share is at least ``share``), spans (byte offsets of hit runs) and clean
     (the text without them; null where nothing is hit).  Null text has no words; items
-    without words have no window; items with equal texts each count; an empty benchmark
+    without words have no window; items with equal words each count, and cost as one; an empty benchmark
     hits nothing.  Null and repeated ids are rows like others.  A column of ``docs`` named
     ``decontamination`` is replaced; names of other columns don't matter.
     """

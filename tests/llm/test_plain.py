@@ -255,3 +255,20 @@ def test_layout_words_and_nesting():
     for deep in ("<div>x" * 50_000, "<p><td>" + "<i>" * 50_000 + "<ul>" * 50_000, "<article><div>" * 20_000):
         html.main_text(deep)
     assert time.process_time() - began < 30
+
+
+def test_equal_items_cost_as_one():
+    """Thousands of equal short items take the time of one, and all of them are named."""
+    import time
+
+    from foliant.llm.decontaminate import Automaton
+
+    words = [b"a", b"b"] * 1500
+    took = {}
+    for n in (1, 9000):
+        automaton = Automaton([(str(k), [b"a", b"b"]) for k in range(n)] + [(f"long{k}", [b"a", b"b"] * 8) for k in range(n)])
+        began = time.perf_counter()
+        hit, names = automaton.scan(words)
+        took[n] = time.perf_counter() - began
+        assert hit.all() and names == {str(k) for k in range(n)} | {f"long{k}" for k in range(n)}
+    assert took[9000] < 5 * took[1] + 0.2
