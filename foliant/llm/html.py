@@ -1,15 +1,18 @@
 """Main text of web pages from streamed parser events.
 
 The standard library's parser emits events; text between block boundaries is a line.  A
-line's ratio is its unlinked characters by the tags met while it was read; lines in
-elements that are never content (scripts, menus, forms, hidden or hinted clutter) weigh
-nothing.  Ratios are smoothed with a Gaussian, and lines above the threshold (the
-standard deviation of the smoothed ratios) are the seeds of content.
-
-The content region is the article that holds most seeds, or else the smallest element that
-holds them all.  An article's lines all belong to the text.  Elsewhere density goes on
-deciding: between the first and the last seed, lines belong unless their block is mostly
-links; outside, only those that stand in one container with seeds.
+line's ratio is its unlinked characters by the tags met while it was read.  Scripts, forms
+and hidden elements are no text at all; navigation, footers and what a class names as
+clutter only weigh less: their ratios count a five-hundredth, half where the class has other words
+too.  Ratios are smoothed with a Gaussian, and lines above the threshold (the standard
+deviation of the smoothed ratios) are the seeds of content.  A block of lower weight is
+clutter unless seeds are half of it.
+
+The content region is the element that gains most, a seed's characters counting for it and
+other characters against it; of equal gains an article goes first.  An article's lines all
+belong to the text.  Elsewhere density goes on deciding: between the first and the last
+seed, lines belong unless their block is mostly links; outside, only those that stand in
+one container with seeds.
 
 All work is linear in the page: elements know their parent, and what holds for an element
 is summed up or handed down once.
@@ -37,16 +40,24 @@ BLOCK = frozenset(
 INLINE = frozenset("p li a b strong em i span u small q cite code sub sup font mark".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Never content, whatever they hold.
-DROPPED = frozenset(
-    "script style noscript template iframe object svg canvas audio video title head nav footer aside form button select textarea dialog menu datalist".split()
-)
+DROPPED = frozenset("script style noscript template iframe object svg canvas audio video title head form button select textarea dialog menu datalist".split())
+#: Seldom content: what they hold weighs less.
+ASIDE = frozenset("nav footer aside header".split())
 ENDS_P = BLOCK - {"br", "body", "html", "option", "optgroup", "caption"}
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar status".split())
+#: Words of classes and ids that name clutter, and such as go with them.
 _HINT = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|adsense|adslot|sponsor\w*|promo\w*|banners?|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|sidebars?|side-?bar|rail|"
-    r"comments?|comment-?list|commentlist|respond|replies|disqus|menus?|navbar|navigation|nav|breadcrumbs?|footers?|masthead|topbar|site-?header|page-?header|"
-    r"share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|signup|login|search|widgets?|toolbar|pagination|pager|tags?-?list|skip-?link)(?:[^a-z]|$)"
+    r"ads?|advert\w*|adsense|adslot|sponsor\w*|promo\w*|banners?|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|sidebars?|rail|"
+    r"comments?|commentlist|respond|replies|disqus|menus?|navbar|navigation|nav|breadcrumbs?|footers?|masthead|topbar|siteheader|pageheader|"
+    r"share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|signup|login|search|widgets?|toolbar|pagination|pager|tags?list|skiplink"
+)
+_WITH_HINT = frozenset(
+    "a abc area article bar big block blog body bottom box btn button buttons card col column container content cta entry feed fixed float form global group head header heading hero icons"
+    " id inline inner item items js label large layer left line link links list local main media middle mobile module news note outer page panel post primary reader right row secondary section"
+    " side site slot small sticky story strip tab text thread title top unit user view web wrap wrapper zone".split()
 )
+#: What ratios in clutter count: by its tag, role or a class that names nothing else; by a class with other words.
+CLUTTER, HINTED = 0.002, 0.5
 #: Containers that a hint does not drop: they hold the page or the article itself.
 SHELL = frozenset("html body main article".split())
 SIGMA = 1.0
@@ -62,9 +73,10 @@ LINKED = 0.5
 class Element:
     tag: str
     parent: int
-    hard: bool  # never content, by its tag, role or style
-    hinted: bool  # clutter by the words of its class or id
-    anew: bool  # an article: what surrounds it does not drop it
+    hard: bool  # never content, by its tag or style
+    weight: float  # what ratios in it count, by tag or role
+    hint: float  # the same by the words of its class or id
+    anew: bool  # an article: what surrounds it does not make it clutter
 
 
 @dataclass
@@ -76,12 +88,23 @@ class Line:
     heading: bool
 
 
+def hint_weight(names: str) -> float:
+    """The least that the classes of an element make its ratios count: ``ad-slot`` names clutter, ``notice-board-history`` perhaps."""
+    least = 1.0
+    for name in names.lower().split():
+        parts = [p for p in re.split("[^a-z]+", name) if p]
+        whole = bool(_HINT.fullmatch("".join(parts)))
+        if whole or any(_HINT.fullmatch(p) for p in parts):
+            least = min(least, CLUTTER if whole or all(_HINT.fullmatch(p) or p in _WITH_HINT for p in parts) else HINTED)
+    return least
+
+
 class Lines(HTMLParser):
     """Collects the lines of a page with their tags and enclosing elements."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.elements = [Element("", -1, False, False, False)]
+        self.elements = [Element("", -1, False, 1.0, 1.0, False)]
         self.open = [0]
         self.places: dict[str, list[int]] = {}  # by tag, where it is on the stack
         self.lines: list[Line] = []
@@ -121,19 +144,19 @@ class Lines(HTMLParser):
         self.met_article |= tag == "article"
         # An article's own header keeps its headings, see main_text.
         own_header = tag == "header" and self._last("article", "main") > 0
-        hard = not anew and not own_header and (tag in DROPPED or tag == "header" or self._marked(attrs))
-        hinted = not anew and not own_header and tag not in SHELL and any(k in ("class", "id", "data-role", "data-component") and _HINT.search((v or "").lower()) for k, v in attrs)
-        self.elements.append(Element(tag, self.open[-1], hard, bool(hinted), anew))
+        free = anew or own_header
+        hard = not anew and (tag in DROPPED or self._hidden(attrs))
+        aside = not free and (tag in ASIDE or any(k == "role" and (v or "").lower() in ROLES for k, v in attrs))
+        named = () if free or tag in SHELL else [hint_weight(v) for k, v in attrs if k in ("class", "id", "data-role", "data-component") and v]
+        self.elements.append(Element(tag, self.open[-1], hard, CLUTTER if aside else 1.0, min(named, default=1.0), anew))
         self.places.setdefault(tag, []).append(len(self.open))
         self.open.append(len(self.elements) - 1)
 
     @staticmethod
-    def _marked(attrs: list[tuple[str, str | None]]) -> bool:
+    def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
         for k, v in attrs:
             v = (v or "").lower()
-            if k == "hidden" or (k == "role" and v in ROLES) or (k == "aria-hidden" and v == "true"):
-                return True
-            if k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v):
+            if k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v)):
                 return True
         return False
 
@@ -196,16 +219,21 @@ def _held(lines: list[Line], value: list[int], elements: list[Element]) -> list[
     return _summed(own, elements)
 
 
-def _dropped(lines: list[Line], elements: list[Element]) -> list[bool]:
-    """By element, whether it is clutter.  A hint on what holds most of the page and its title or article is none."""
-    size = [len(x.text) for x in lines]
-    held = _held(lines, size, elements)
+def _weights(lines: list[Line], elements: list[Element]) -> tuple[list[float], list[int]]:
+    """By element: what ratios in it count (0 for what is no text), and the outermost element that makes them count less (0: none).
+
+    A hint on what holds most of the page and its title or article is none.
+    """
+    held = _held(lines, [len(x.text) for x in lines], elements)
     titles = _summed([int(e.tag in ("h1", "article", "main")) for e in elements], elements)
-    out = [False] * len(elements)
+    weight, outer = [1.0] * len(elements), [0] * len(elements)
     for n, e in enumerate(elements[1:], 1):
-        hint = e.hinted and not (titles[n] and 2 * held[n] >= held[0])
-        out[n] = not e.anew and (e.hard or hint or out[e.parent])
-    return out
+        if e.anew:
+            continue
+        own = min(e.weight, 1.0 if titles[n] and 2 * held[n] >= held[0] else e.hint)
+        weight[n] = 0.0 if e.hard else min(own, weight[e.parent])
+        outer[n] = outer[e.parent] or (n if own < 1 else 0)
+    return weight, outer
 
 
 def _inside(root: int, elements: list[Element]) -> list[bool]:
@@ -215,35 +243,48 @@ def _inside(root: int, elements: list[Element]) -> list[bool]:
     return out
 
 
-def seeds_of(lines: list[Line], free: list[bool]) -> list[bool]:
+def seeds_of(lines: list[Line], weight: list[float]) -> list[bool]:
     """Lines in the clusters of high smoothed text-to-tag ratio that are dense of their own, not by their neighbours alone."""
-    ratios = np.array([(len(x.text) - x.linked) / max(1, x.tags) if ok else 0.0 for x, ok in zip(lines, free, strict=True)])
+    ratios = np.array([(len(x.text) - x.linked) / max(1, x.tags) * w for x, w in zip(lines, weight, strict=True)])
     smooth = smoothed(ratios)
     bar = float(smooth.std())
-    found = [bool(ok and s >= bar and r >= bar) for s, r, ok in zip(smooth, ratios, free, strict=True)]
+    found = [bool(w and s >= bar and r >= bar) for s, r, w in zip(smooth, ratios, weight, strict=True)]
     if any(found):
         return found
-    best = max(float(s) for s, ok in zip(smooth, free, strict=True) if ok)
-    return [bool(ok and s >= best) for s, ok in zip(smooth, free, strict=True)]
+    best = max(float(s) for s, w in zip(smooth, weight, strict=True) if w == 1)
+    return [bool(w == 1 and s >= best) for s, w in zip(smooth, weight, strict=True)]
 
 
 def main_text(html: str) -> str:
-    """The page's content lines in order, joined by one space; empty if there is none."""
+    """The page's content lines in order, joined by one space; empty if there is none but clutter."""
     page = page_lines(html)
     lines, elements = page.lines, page.elements
-    dropped = _dropped(lines, elements)
-    free = [not dropped[x.at] for x in lines]
-    if not any(free):
+    by_element, outer = _weights(lines, elements)
+    weight = [by_element[x.at] for x in lines]
+    if 1.0 not in weight:
         return ""
-    seeds = seeds_of(lines, free)
-    weight = _held(lines, [len(x.text) * s for x, s in zip(lines, seeds, strict=True)], elements)
-    articles = [n for n, e in enumerate(elements) if e.tag in ("article", "main") and not dropped[n] and 2 * weight[n] >= weight[0] > 0]
-    if articles:
-        inner = [n for n in articles if elements[n].tag == "article"]
-        region = _inside(max(inner or articles, key=lambda n: (weight[n], n)), elements)
+    seeds = seeds_of(lines, weight)
+    size = [len(x.text) for x in lines]
+    # Blocks of lower weight, by the outermost element that lowers it: content where seeds are half of them.
+    dense, whole = [0] * len(elements), [0] * len(elements)
+    for x, s, n in zip(lines, seeds, size, strict=True):
+        dense[outer[x.at]] += n * s
+        whole[outer[x.at]] += n
+    free = [w > 0 and (not outer[x.at] or 2 * dense[outer[x.at]] >= whole[outer[x.at]]) for x, w in zip(lines, weight, strict=True)]
+    seeds = [s and ok for s, ok in zip(seeds, free, strict=True)]
+    held = _held(lines, [n * s for n, s in zip(size, seeds, strict=True)], elements)
+    gain = _held(lines, [(n if s else -n) * ok for n, s, ok in zip(size, seeds, free, strict=True)], elements)
+    places = [n for n, e in enumerate(elements) if e.tag not in HEADINGS | INLINE and held[n]]
+    # Of equal gains an article goes first, then the smallest element; what lies in an article stands for it.
+    root = max(places, key=lambda n: (gain[n], elements[n].tag in ("article", "main"), n))
+    article = root
+    while article and elements[article].tag not in ("article", "main"):
+        article = elements[article].parent
+    if article:
+        region = _inside(article, elements)
         kept = [ok and region[x.at] and (x.heading or not header) for x, ok, header in zip(lines, free, _in_header(lines, elements), strict=True)]
     else:
-        kept = _dense(lines, elements, free, seeds, weight)
+        kept = _dense(lines, elements, free, seeds, held, root)
     return " ".join(x.text for x, k in zip(lines, kept, strict=True) if k)
 
 
@@ -254,9 +295,8 @@ def _in_header(lines: list[Line], elements: list[Element]) -> list[bool]:
     return [inside[x.at] for x in lines]
 
 
-def _dense(lines: list[Line], elements: list[Element], free: list[bool], seeds: list[bool], weight: list[int]) -> list[bool]:
-    """Without an article: what stands with the clusters and is no menu."""
-    root = max(n for n, w in enumerate(weight) if w == weight[0] and elements[n].tag not in HEADINGS | INLINE)
+def _dense(lines: list[Line], elements: list[Element], free: list[bool], seeds: list[bool], weight: list[int], root: int) -> list[bool]:
+    """Without an article: what stands with the clusters in the region and is no menu."""
     region = _inside(root, elements)
     whole = elements[root].tag in ("", "html", "body")
     size = _held(lines, [len(x.text) for x in lines], elements)
@@ -272,7 +312,8 @@ def _dense(lines: list[Line], elements: list[Element], free: list[bool], seeds:
     for i, x in enumerate(lines):
         b = block[x.at]
         menu = (linked[b] >= LINKED * size[b]) if b else 2 * x.linked > len(x.text)
-        near = region[x.at] and (first < i < last or not whole or not b or elements[b].tag in ("p", "ul", "ol", "pre", "blockquote", *HEADINGS))
+        # Bare text of the page beyond the seeds stands with them in nothing.
+        near = region[x.at] and (first < i < last or not whole or (b and elements[b].tag in ("p", "ul", "ol", "pre", "blockquote", *HEADINGS)))
         out.append(free[i] and (seeds[i] or (near and not menu) or (i == title and elements[b].tag in HEADINGS)))
     return out
 
