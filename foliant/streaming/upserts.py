@@ -2,53 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from foliant.operators.state import latest
+from foliant.streaming.store import BucketStore, Spec
 
-CURRENT = "generation int, epoch bigint"
+ROWS = "rows"
 
 
-def upsert_stream(stream: DataFrame, table: str, key: str, order: str, checkpoint: str) -> StreamingQuery:
+def _store(spark: SparkSession, table: str, key: str = "", order: str = "", buckets: int = 64) -> BucketStore:
+    return BucketStore(spark, table, {ROWS: Spec(key, (key,), order)}, buckets)
+
+
+def upsert_stream(stream: DataFrame, table: str, key: str, order: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
     """Runs what is available now; last ``order`` wins, a replayed batch changes nothing.
 
-    The table has two generations, written in turn, so that a batch never overwrites what it
-    reads; ``current`` says which one holds and of which epoch it is, and epochs that are in
-    it already are left out.  Every batch writes the whole table anew.
+    Only buckets of keys that a batch has are written, and become visible with its epoch in
+    one commit; see ``BucketStore``.
     """
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        now = current(spark, table)
-        if now and now[1] >= epoch:
-            return
-        both = read_current(spark, table).select(*batch.columns).unionByName(batch) if now else batch
-        new = 1 - now[0] if now else 0
-        latest(both, [key], [F.col(order).desc()]).write.mode("overwrite").parquet(f"{table}/generation={new}")
-        # One row a batch that was written; the last one holds, so none is ever overwritten.
-        spark.createDataFrame([(new, epoch)], CURRENT).coalesce(1).write.mode("append").parquet(f"{table}-current")
+        _store(batch.sparkSession, table, key, order, buckets).commit({ROWS: batch}, epoch=("stream", epoch))
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(spark: SparkSession, table: str) -> tuple[int, int] | None:
-    """(generation, epoch) that holds; none before the first batch."""
-    try:
-        rows = spark.read.schema(CURRENT).parquet(f"{table}-current")
-        last = rows.agg(F.max_by(F.struct("generation", "epoch"), "epoch").alias("x")).first()["x"]
-    except AnalysisException:
-        return None
-    return (last["generation"], last["epoch"]) if last else None
-
-
 def read_current(spark: SparkSession, table: str) -> DataFrame:
-    now = current(spark, table)
-    if now is None:
-        raise FileNotFoundError(table)
-    return spark.read.parquet(f"{table}/generation={now[0]}")
+    return _store(spark, table).read(ROWS)
 
 
 def windowed_counts(events: DataFrame, ts: str, keys: list[str], width: str = "1 day", late: str = "7 days") -> DataFrame:
