@@ -18,7 +18,6 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,15 +38,8 @@ NONE = -1e30
 TIE = 7
 
 
-@dataclass(slots=True)
-class Best:
-    ids: bytes  # little-endian int32
-    score: float
-    loss: float  # of the second best path; infinite if there is none
-
-
 class PieceLattice:
-    REMEMBERED, AT_ONCE, DENSE = 800_000, 4096, 256
+    REMEMBERED, AT_ONCE, DENSE, NOT_THERE = 800_000, 4096, 256, -2
 
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -72,7 +64,12 @@ class PieceLattice:
             raise ValueError("the model has no byte pieces to fall back on")
         self.scores = {i: s for i, s in normal.values()}
         self.byte_score = min(s for s in self.scores.values() if s > -1e8) - PENALTY
-        self.known: dict[str, Best] = {}
+        #: Units that were met, and by their number the best path's ids (little-endian int32), its
+        #: score, and what the second best loses (infinite if there is none).
+        self.known: dict[str, int] = {}
+        self.best_ids: list[bytes] = []
+        self.best_score: list[float] = []
+        self.loss: list[float] = []
         self.searched: dict[tuple[str, int], list[tuple[float, tuple[int, ...]]]] = {}
         self._trie(normal)
 
@@ -155,15 +152,15 @@ class PieceLattice:
         for start in range(size - 1, -1, -1):
             k = np.arange(min(size - start, deep))
             b[:, start] = (s[:, start, k] + b[:, start + 1 + k]).max(axis=1)
-        paths: list[list[int]] = [[] for _ in units]
+        # By unit and start, the piece of the best path that starts there; NOT_THERE elsewhere.
+        path = np.full((n, size), self.NOT_THERE, np.int32)
         on = np.zeros(s.shape, bool)
         end, rows = np.full(n, size), np.arange(n)
         while len(rows):
             k = back[rows, end[rows]]
             start = end[rows] - 1 - k
             on[rows, start, k] = True
-            for r, st, i in zip(rows.tolist(), start.tolist(), p[rows, start, k].tolist(), strict=True):
-                paths[r].extend([i] if i >= 0 else self._spell(units[r][st])[::-1])
+            path[rows, start] = p[rows, start, k]
             end[rows] = start
             rows = rows[start > 0]
         # A second path uses an edge that isn't on the best one; the best path through it is known.
@@ -173,9 +170,18 @@ class PieceLattice:
             through[:, size - k :, k] = NONE
         through[on | (s <= NONE)] = NONE
         second = through.reshape(n, -1).max(axis=1)
-        for r, u in enumerate(units):
-            loss = float(a[r, size] - second[r]) if second[r] > NONE / 2 else np.inf
-            self.known[u] = Best(np.array(paths[r][::-1], "<i4").tobytes(), float(a[r, size]), loss)
+        score = a[:, size]
+        taken = path != self.NOT_THERE
+        flat = path[taken].astype("<i4").tobytes()
+        stops = (4 * np.cumsum(taken.sum(axis=1))).tolist()
+        ids = [flat[lo:hi] for lo, hi in zip([0, *stops], stops, strict=False)]
+        for r in np.flatnonzero((path == -1).any(axis=1)).tolist():
+            spelled = [x for st, i in enumerate(path[r].tolist()) if i != self.NOT_THERE for x in ([i] if i >= 0 else self._spell(units[r][st]))]
+            ids[r] = np.array(spelled, "<i4").tobytes()
+        self.known.update(zip(units, range(len(self.loss), len(self.loss) + n), strict=True))
+        self.best_ids += ids
+        self.best_score += score.tolist()
+        self.loss += np.where(second > NONE / 2, score - second, np.inf).tolist()
 
     def learn(self, units: set[str]) -> None:
         by_length: dict[int, list[str]] = {}
@@ -238,33 +244,45 @@ class PieceLattice:
         cuts = [self.units(t) for t in texts]
         new = set().union(*cuts) - self.known.keys()
         if len(self.known) + len(new) > self.REMEMBERED:
-            self.known.clear()
+            for memory in (self.known, self.best_ids, self.best_score, self.loss):
+                memory.clear()
             new = set().union(*cuts)
         self.learn(new)
         return [self._combine(c, n) for c in cuts]
 
     def _combine(self, units: list[str], n: int) -> list[tuple[float, np.ndarray]]:
-        best = [self.known[u] for u in units]
-        score = sum(b.score for b in best)
-        first = np.frombuffer(b"".join([b.ids for b in best]), "<i4")
-        out = [(score, first)]
-        loss = np.array([b.loss for b in best])
-        if n == 1 or not np.isfinite(loss).any():
+        at = list(map(self.known.__getitem__, units))
+        score = sum(map(self.best_score.__getitem__, at))
+        ids = list(map(self.best_ids.__getitem__, at))
+        out = [(score, np.frombuffer(b"".join(ids), "<i4"))]
+        if n == 1:
+            return out
+        loss = np.fromiter(map(self.loss.__getitem__, at), float, len(at))
+        least = []
+        for _ in range(min(n - 1, len(at))):
+            u = int(loss.argmin())
+            if not np.isfinite(loss[u]):
+                break
+            least.append(u)
+            loss[u] = np.inf
+        if not least:
             return out
-        least = sorted(np.argsort(loss, kind="stable")[: n - 1].tolist())
-        least = [u for u in least if np.isfinite(loss[u])]
+        least.sort()
         # Losses and ids of each such unit's alternatives, the best path first.
         options = []
         for u in least:
-            own = tuple(np.frombuffer(best[u].ids, "<i4").tolist())
-            rest = [(best[u].score - s, ids) for s, ids in self.search(units[u], n + 1) if ids != own]
+            own = tuple(np.frombuffer(ids[u], "<i4").tolist())
+            best = self.best_score[at[u]]
+            rest = [(best - s, other) for s, other in self.search(units[u], n + 1) if other != own]
             options.append([(0.0, own), *rest[: n - 1]])
         heap, met = [(0.0, (0,) * len(options))], {(0,) * len(options)}
         while heap and len(out) < n:
             lost, picks = heapq.heappop(heap)
             if any(picks):
-                chosen = dict(zip(least, picks, strict=True))
-                parts = [np.array(options[least.index(u)][chosen[u]][1], "<i4").tobytes() if chosen.get(u) else b.ids for u, b in enumerate(best)]
+                parts = ids.copy()
+                for u, own, k in zip(least, options, picks, strict=True):
+                    if k:
+                        parts[u] = np.array(own[k][1], "<i4").tobytes()
                 out.append((score - lost, np.frombuffer(b"".join(parts), "<i4")))
             for i, k in enumerate(picks):
                 if k + 1 < len(options[i]):
@@ -323,7 +341,7 @@ def encode_pieces(docs: DataFrame, model: str, n: int = 3) -> DataFrame:
                 for c, v in zip(cols[1:], (len(ids), crcs[0], [s for s, _ in found], crcs, text, text == t), strict=True):
                     c.append(v)
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32), pa.int32()))
-            struct = pa.StructArray.from_arrays([ids, *[pa.array(c, f.type) for c, f in zip(cols[1:], list(fields)[1:], strict=True)]], fields=list(fields))
-            yield pa.RecordBatch.from_arrays([*b.columns, struct], names=final.names)
+            found = pa.StructArray.from_arrays([ids, *[pa.array(c, f.type) for c, f in zip(cols[1:], list(fields)[1:], strict=True)]], fields=list(fields))
+            yield pa.RecordBatch.from_arrays([*b.columns, found], names=final.names)
 
     return own.mapInArrow(run, final)
