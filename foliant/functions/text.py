@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -101,6 +102,11 @@ def ngrams(kept: Column) -> Column:
 # --- markup
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a column that is found once, however often ``f`` reads it."""
+    return F.get(F.transform(F.array(c), f), 0)
+
+
 def element(text: Column, tag: str) -> Column:
     """Content of the first <tag>; empty if there is none."""
     return F.regexp_extract(text, rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>", 1)
@@ -130,8 +136,8 @@ def decode_entities(text: Column) -> Column:
         char = lambda x: F.when(valid(x), F.decode(F.unhex(F.lpad(F.hex(F.when(valid(x), code(x)).otherwise(32)), 8, "0")), "UTF-32")).otherwise(F.concat(F.lit(prefix), x, F.lit(";")))
         return F.when(F.size(found) > 0, F.aggregate(found, c, lambda acc, x: F.replace(acc, F.concat(F.lit(prefix), x, F.lit(";")), char(x)))).otherwise(c)
 
-    out = numeric(out, r"&#x([0-9a-fA-F]{1,6});", 16)
-    out = numeric(out, r"&#([0-9]{1,7});", 10)
+    out = bound(out, lambda c: numeric(c, r"&#x([0-9a-fA-F]{1,6});", 16))
+    out = bound(out, lambda c: numeric(c, r"&#([0-9]{1,7});", 10))
     return F.replace(out, F.lit("&amp;"), F.lit("&"))
 
 
@@ -150,6 +156,10 @@ def month_number(text: Column) -> Column:
 
 def partial_date(block: Column) -> Column:
     """YYYY-MM-DD of a marked-up date; missing parts are 01, no year gives the empty string."""
+    return bound(block, _date_of)
+
+
+def _date_of(block: Column) -> Column:
     year, month, day, free = (clean_text(element(block, t)) for t in ("Year", "Month", "Day", "MedlineDate"))
     exact = F.concat_ws("-", year, F.when(month != "", month_number(month)).otherwise("01"), F.when(day.rlike(r"^\d+$"), F.lpad(day, 2, "0")).otherwise("01"))
     name = F.regexp_extract(free, r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\b", 1)

@@ -145,13 +145,13 @@ _CHOICE = ("Meta-Analysis", "Randomized Controlled Trial", "Guideline", "Letter"
 
 
 @query(
-    f"WITH {RULES}{SECTIONED}, w AS (SELECT DISTINCT {ITEMS} AS item, true AS is_watched FROM events WHERE user_id = 7)"
+    f"WITH {RULES}{SECTIONED}, w AS (SELECT DISTINCT {ITEMS} AS item, true AS is_watched FROM events WHERE event_type = 'error' AND value > 100)"
     f" SELECT item, coalesce(is_watched, false) AS is_watched, section, round((0.4 * CASE tier WHEN 1 THEN 1.0 WHEN 2 THEN 0.8 ELSE 0.5 END + 0.3 * {_STUDY} + 0.2 * 0.5 + 0.1 * CASE WHEN pediatric THEN 0.4 ELSE 0.3 END)::DOUBLE * {_FACTORS}, 6) AS score"
     f" FROM placed LEFT JOIN w USING (item) WHERE is_watched OR (rule IS NULL AND kind IN {_CHOICE})"
 )
 def watched_scores(spark, sf_dir):
     """Scores of what passes or is by a followed author; texts state no enrolment here, so sizes are unknown."""
-    watched = events(spark, sf_dir).where("user_id = 7").select("item")
+    watched = events(spark, sf_dir).where("event_type = 'error' and value > 100").select("item")
     no_size = judged(spark, sf_dir).withColumn("signals", F.col("signals").withField("sample_size", F.lit(None).cast("bigint")))
     s = sl.scored_papers(no_size, watched, F.lit(0.5), RICH, list(_CHOICE), dt.keyword_hits([" steroids "]))
     return s.select("item", "is_watched", "section", F.round("score", 6).alias("score"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.functions.text import attribute, clean_text, element, elements, partial_date
+from foliant.tables import settled
 
 FULL_DATE = r"^\d{4}-\d{2}-\d{2}$"
 
@@ -26,6 +27,17 @@ def split_records(texts: DataFrame, column: str = "xml", tag: str = "PubmedArtic
     return texts.select(F.explode(F.regexp_extract_all(column, F.lit(rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>"), 1)).alias("record"))
 
 
+def framed_records(spark: SparkSession, path: str, tag: str = "PubmedArticle") -> DataFrame:
+    """One row a record element of text files, cut at the closing tag as they are read, so that one large file is read by many tasks.
+
+    Rows are the same as those of ``split_records`` on whole files, if closing tags are
+    written as ``tag`` is; what follows the last one is no record.
+    """
+    frames = spark.read.option("lineSep", f"</{tag}>").text(path)
+    opened = rf"(?is)<{tag}(?:\s[^>]*)?>(.*)$"
+    return settled(frames.where(F.col("value").rlike(opened)).select(F.regexp_extract("value", opened, 1).alias("record")), "record")
+
+
 def _first_full(items: Column) -> Column:
     return F.coalesce(F.get(F.filter(items, lambda x: x != ""), 0), F.lit(""))
 
@@ -46,8 +58,11 @@ def _authors(record: Column) -> Column:
     return F.filter(people, lambda p: (p["last"] != "") | (p["fore"] != ""))
 
 
-def parse_records(records: DataFrame) -> DataFrame:
-    """Typed records; those without id, title, journal or both full dates are left out."""
+def parse_records(records: DataFrame, seen: Observation | None = None) -> DataFrame:
+    """Typed records; those without id, title, journal or both full dates are left out.
+
+    ``seen`` counts ``records`` and ``skipped`` in the pass that first reads the result.
+    """
     r = F.col("record")
     parts = F.transform(
         elements(element(r, "Abstract"), "AbstractText"),
@@ -71,7 +86,11 @@ def parse_records(records: DataFrame) -> DataFrame:
         F.when(published != "", published).otherwise(partial_date(element(r, "ArticleDate"))).alias("pubdate"),
         F.nullif(_first_full(F.transform(places, lambda e: clean_text(e["content"]))), F.lit("")).alias("doi"), texts("Language", r).alias("language"),
     )
+    # Made once, before the test of what is whole reads them.
+    df = settled(df, *df.columns)
     whole = (F.col("pmid") != "") & (F.col("title") != "") & (F.col("journal") != "") & F.col("edat").rlike(FULL_DATE) & F.col("pubdate").rlike(FULL_DATE)
+    if seen is not None:
+        df = df.observe(seen, F.count(F.lit(1)).alias("records"), F.count(F.when(whole, None).otherwise(1)).alias("skipped"))
     return df.where(whole).withColumns({c: F.col(c).try_cast("date") for c in ("edat", "pubdate")})
 
 
