@@ -273,7 +273,12 @@ def export_segments(stored: DataFrame, folder: str) -> list[str]:
 
 
 def packed_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
-    """Writes the packed table to the shared folder and returns what is read back from it."""
+    """Writes the packed table to the shared folder and returns what is read back from it.
+
+    Null text is the empty one: its only id is the end.  Rows with a null id come first, rows
+    that repeat an id stand side by side and each get a row.  A very long text is encoded
+    whole.  An empty table gives an empty result; other columns are ignored.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "tokens")
     write_token_table(docs, tokenizer, end_id, f"{scratch.at}/segments")

@@ -163,8 +163,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = 8000) -> Ga
 def quality_scores(docs: DataFrame, labels: DataFrame, per_class: int = 8000) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``.
 
-    Null text is scored as the empty one; repeated rows each get a row; without labels
-    of both classes every score is the smoothed share of good ones (0.5 without any).
+    Null text is scored as the empty one; repeated rows each get a row; a row without an id
+    is scored, with a null ``held_out``.  A very long text is read whole, as counts of its
+    bytes and words.  Equal features give equal scores, so ties stay ties.  Without labels of
+    both classes every score is the smoothed share of good ones (0.5 without any); an empty
+    table gives an empty result; other columns are ignored.
     """
     model = fit_quality(docs, labels, per_class)
 

@@ -440,7 +440,9 @@ def katz_scores(docs: DataFrame, modulus: int = 10, held: int = 0) -> DataFrame:
 
     Trains on texts whose id's remainder is not ``held``.  Null text is the empty one: its
     only token is the end.  Rows with a null id train and are scored; repeated rows count
-    and are scored each.  Without training texts every token has probability one.
+    and are scored each.  A very long text is counted and scored whole, dealt out by bucket of
+    its bigrams like any other.  Without training texts every token has probability one; an
+    empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)

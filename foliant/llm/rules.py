@@ -202,8 +202,8 @@ def quality_rules(docs: DataFrame, confidence: float = 1 - 1e-9, min_group: int
     The squared distance is cut off at the ``confidence`` quantile of its chi-square law.
     Documents that fail the base rules take no part in the estimates and have a null
     distance.  A null language or source is a value of its own; null and empty texts have
-    no words and fail; rows with a null or repeated id each count; an empty table gives an
-    empty result.  Columns other than doc_id, text, lang and source are ignored.
+    no words and fail; rows with a null or repeated id each count; a very long text is counted
+    whole; rows with equal statistics share a verdict; an empty table gives an empty result.  Columns other than doc_id, text, lang and source are ignored.
     """
     scratch = Scratch(docs.sparkSession, "rules")
     as_key = lambda *c: F.to_json(F.struct(*c), {"ignoreNullFields": "false"})

@@ -186,7 +186,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, per_class: int = 4000, d
 
     ``predicted`` cuts at ``default``; ``rejected`` at the threshold of the row's language
     (``default`` where the language had too few rows).  Null text is scored as the empty
-    one; repeated rows each get a row; without labels of both classes the score is constant.
+    one; repeated rows each get a row; a row without an id is scored, with a null
+    ``held_out``.  A very long text is pooled whole, over all of its words.  Without labels of
+    both classes the score is constant; an empty table gives an empty result; other columns
+    are ignored.
     """
     spark = docs.sparkSession
     net = fit_toxicity(docs, labels, per_class, default)
