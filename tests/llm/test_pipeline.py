@@ -71,3 +71,45 @@ def test_run_equals_plain_stages(spark):
     items = [r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     want = {d for d in firsts(texts) if not contaminated(texts[d], items)}
     assert sorted(r.doc_id for r in cp.run(spark, SMALL).select("doc_id").collect()) == sorted(want)
+
+
+def words_cut(text, items):
+    """The text's words outside all windows of the items."""
+    words = lambda t: [w for w in re.split(r"[\x00-/:-`{-\x7f]+", low(t)) if w]
+    ws, hit = words(text), set()
+    for item in map(words, items):
+        n = min(13, len(item))
+        windows = {tuple(item[p : p + n]) for p in range(len(item) - n + 1)} if n else set()
+        for p in range(len(ws) - n + 1):
+            if tuple(ws[p : p + n]) in windows:
+                hit.update(range(p, p + n))
+    return [w for i, w in enumerate(ws) if i not in hit]
+
+
+def test_columns_of_the_last_stages(spark):
+    """Cut-out text, lengths, pieces and scores of what passes, beside documents with odd ids and columns."""
+    words = lambda t: [w for w in re.split(r"[\x00-/:-`{-\x7f]+", low(t)) if w]
+    items = [r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    passage = next(" ".join(words(t)[:14]) for t in items if len(words(t)) >= 14)
+    filler = " ".join(f"w{i}" for i in range(400))
+    rows = [(1, f"{filler} {passage} tail"), (2, passage), (3, filler), (4, None), (5, ""), (6, f"{filler} again"), (6, f"{filler} again"), (None, filler)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, pieces string, score double"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "own", 0.5) for i, t in rows], schema)
+    clean = cp.drop_benchmark(spark, docs, SMALL)
+    assert clean.columns == list(cp.DOCUMENT)
+    kept = sorted(clean.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
+    assert [r.doc_id for r in kept] == [None, 1, 3, 4, 5, 6, 6]
+    assert words(kept[1].text) == words_cut(rows[0][1], items) and kept[1].n_chars == len(kept[1].text) < len(rows[0][1])
+    assert kept[2].text == filler and kept[3].text is None and kept[3].n_chars == 0
+    last = cp.to_pieces(spark, clean, SMALL)
+    assert last.columns == ["doc_id", "text", "lang", "source", "n_chars", "piece_ids", "n_pieces", "scores"]
+    for r in last.collect():
+        text = next(k.text for k in kept if k.doc_id == r.doc_id)
+        assert r.text == text and r.n_pieces == len(r.piece_ids) and (r.scores == sorted(r.scores, reverse=True)) and (len(r.scores) == 2 or not text)
+
+
+def test_stages_of_empty_tables(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, extra int")
+    for _, stage in cp.STAGES[:-1]:
+        assert stage(spark, docs, SMALL).collect() == [] and stage(spark, docs, SMALL).columns == list(cp.DOCUMENT)
+    assert cp.to_pieces(spark, docs, SMALL).count() == 0

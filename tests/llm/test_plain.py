@@ -272,3 +272,17 @@ def test_equal_items_cost_as_one():
         took[n] = time.perf_counter() - began
         assert hit.all() and names == {str(k) for k in range(n)} | {f"long{k}" for k in range(n)}
     assert took[9000] < 5 * took[1] + 0.2
+
+
+def test_whole_texts_have_the_n_best_of_all_segmentations(lat):
+    """Of texts of several units, ids and scores of the n best equal those of every segmentation."""
+    texts = ["ab cd", "a\nbc", "to be", "é x", "  two", "in on", "▁a b", "a"]
+    for n in (1, 2, 3, 6):
+        for text, found in zip(texts, lat.encode_batch(texts, n), strict=True):
+            each = [every_segmentation(lat, u) for u in lat.units(text)]
+            whole = sorted((sum(s for s, _ in parts) for parts in itertools.product(*each)), reverse=True)[:n]
+            assert np.allclose([s for s, _ in found], whole, atol=1e-6)
+            every = {tuple(i for _, ids in parts for i in ids) for parts in itertools.product(*each)}
+            own = [tuple(ids.tolist()) for _, ids in found]
+            assert len(set(own)) == len(own) and set(own) <= every
+            assert lat.decode(own[0]) == text
