@@ -238,8 +238,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, similarity: tuple[int, int]
     # Which shingles are frequent only orders prefixes; any order finds the same links.
     few_nodes = chosen.select("node").orderBy(F.xxhash64("node"), "node").limit(ASKED).distinct()
     told = chosen.join(F.broadcast(few_nodes), "node").select("_set").mapInArrow(_asked, "shingle long, k long").groupBy("shingle").agg(F.sum("k").alias("k"))
-    told = sorted((r["shingle"], r["k"]) for r in told.where("k > 2").orderBy(F.col("k").desc(), "shingle").limit(FREQUENT).collect())
-    frequent, rank = np.array([s for s, _ in told], np.int64), np.array([k for _, k in told], np.int64)
+    # As columns: rows of Python objects would take the driver a hundred times their size.
+    told = told.where("k > 2").orderBy(F.col("k").desc(), "shingle").limit(FREQUENT).toArrow().sort_by("shingle")
+    frequent, rank = (told.column(c).to_numpy().astype(np.int64) for c in ("shingle", "k"))
     prefix = scratch.keep(chosen.mapInArrow(_prefixes(frequent, rank, num, den), "shingle long, at int, node long, n int, few boolean, c long, sig binary"))
     scratch.drop(chosen, apart)
     x, y = prefix.where("few").alias("x"), prefix.alias("y")
